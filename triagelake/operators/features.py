@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
+from triagelake.operators.rows import settle
 
 
 def with_terms(
@@ -20,7 +21,7 @@ def with_terms(
     out: str = "terms",
 ) -> DataFrame:
     """Add the terms of a text; bigrams join words left after stop words."""
-    df = df.withColumn("_t", text.tokens(F.col(column), stop_words))
+    df = settle(df, _t=text.tokens(F.col(column), stop_words))
     terms = F.col("_t")
     if ngrams == (1, 2):
         heads = F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0)))
@@ -39,7 +40,7 @@ def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
     The terms are sorted inside the row and runs are counted, so counting
     needs no shuffle.
     """
-    rows = df.select(key, F.sort_array(terms).alias("_s"))
+    rows = settle(df.select(key, terms), _s=F.sort_array(terms))
     starts = F.filter(
         F.transform(
             F.col("_s"),
@@ -49,7 +50,7 @@ def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
         ),
         lambda i: i.isNotNull(),
     )
-    rows = rows.withColumn("_b", starts)
+    rows = settle(rows, _b=starts)
     counts = F.transform(
         F.col("_b"),
         lambda p, j: F.struct(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
+from triagelake.operators.rows import keep_first, settle
 from triagelake.session import checkpoint
 
 # Boilerplate keys held as one constant inside a task; more than this are
@@ -13,24 +14,6 @@ from triagelake.session import checkpoint
 INLINE_KEYS = 2000
 
 
-def keep_first(df: DataFrame, items: Column, key, out: str) -> DataFrame:
-    """Add ``out``: ``items`` without later elements whose key came before.
-
-    Works inside the row: sort by (key, position), keep the first of each
-    run, restore the order.  ``key`` maps an element to its key.
-    """
-    tagged = F.transform(
-        items, lambda x, i: F.struct(key(x).alias("k"), i.alias("pos"), x.alias("item"))
-    )
-    df = df.withColumn("_sorted", F.sort_array(tagged))
-    runs = F.filter(
-        F.col("_sorted"),
-        lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["k"] != e["k"]),
-    )
-    ordered = F.array_sort(F.transform(runs, lambda e: F.struct(e["pos"], e["item"])))
-    return df.withColumn(out, F.transform(ordered, lambda e: e["item"])).drop("_sorted")
-
-
 def dedupe_sentences(df: DataFrame, column: str, out: str, sep: str = " ") -> DataFrame:
     """Keep the first sentence per key; sentences without a key go."""
     spoken = F.filter(text.sentences(F.col(column)), lambda s: text.sentence_key(s) != "")
@@ -90,28 +73,33 @@ def extract_content(
     found = checkpoint(found.select("key"))
     few = found.limit(inline_keys + 1).count() <= inline_keys
     single = dedupe_sentences(df, column, "_text", "\n" if strict else " ")
-    probe = (lambda s: text.sentence_key(text.trim_edges(s))) if strict else text.sentence_key
+
+    def probe(s: Column) -> Column:
+        return text.sentence_key(text.trim_edges(s) if strict else s)
+
+    def content_of(kept: Column) -> Column:
+        trimmed = F.transform(kept, lambda s: text.trim_edges(s))
+        return F.array_join(
+            F.filter(trimmed, lambda s: text.word_count(s) >= min_words), " "
+        )
+
     spoken = text.sentences(F.col("_text"))
     if few:
         known = found.agg(F.collect_set("key")).scalar()
-        kept = single.withColumn("_known", known).withColumn(
-            "_kept", F.filter(spoken, lambda s: ~F.array_contains("_known", probe(s)))
-        )
+        kept = F.filter(spoken, lambda s: ~F.array_contains(F.col("_known"), probe(s)))
+        done = single.withColumn("_known", known)
+        done = settle(done, resolution_content=content_of(kept))
     else:
         exploded = single.select(key, F.posexplode(spoken).alias("pos", "s"))
         exploded = exploded.withColumn("key", probe(F.col("s")))
         left = exploded.join(found, "key", "left_anti")
         ordered = F.sort_array(F.collect_list(F.struct("pos", "s")))
-        per_row = left.groupBy(key).agg(F.transform(ordered, lambda x: x["s"]).alias("_kept"))
-        kept = single.join(per_row, key, "left")
-    trimmed = F.filter(
-        F.transform(F.coalesce("_kept", F.array()), text.trim_edges),
-        lambda s: text.word_count(s) >= min_words,
-    )
-    content = kept.withColumn("resolution_content", F.array_join(trimmed, " "))
-    return content.withColumn(
+        kept = F.transform(ordered, lambda x: x["s"])
+        per_row = left.groupBy(key).agg(content_of(kept).alias("resolution_content"))
+        done = single.join(per_row, key, "left").fillna("", ["resolution_content"])
+    return done.withColumn(
         "content_words", text.word_count(F.col("resolution_content"))
-    ).drop("_text", "_known", "_kept")
+    ).drop("_text", "_known")
 
 
 def content_floors(
