@@ -167,3 +167,132 @@ unified AS (
          description_word_count >= 3 AND resolution_word_count >= 5 AS retrievable
   FROM counted)
 """
+
+
+# --- boilerplate and content -------------------------------------------------
+
+def boiler(src: str, key: str, t: str) -> str:
+    """CTEs ``sent``, ``keys``, ``boiler`` over the relation ``src``."""
+    return f"""
+sent AS (SELECT {key}, unnest({sentences(t)}) AS s FROM {src}),
+keys AS (SELECT DISTINCT {key}, {skey(trim_edges('s'))} AS key FROM sent),
+boiler AS (SELECT key, count(*) AS docs, count(*) / (SELECT count(*) FROM {src})::DOUBLE AS share
+           FROM keys WHERE key <> '' GROUP BY key
+           HAVING count(*) / (SELECT count(*) FROM {src})::DOUBLE >= {fixed.SENTENCE_SHARE})"""
+
+
+def content(src: str, key: str, t: str) -> str:
+    """CTE ``content (key, raw, resolution_content, content_words)``."""
+    return f"""{boiler(src, key, t)},
+seq AS (SELECT {key}, unnest(range(len(s))) AS pos, unnest(s) AS s
+        FROM (SELECT {key}, {sentences(t)} AS s FROM {src})),
+firsts AS (SELECT {key}, pos, s FROM (
+             SELECT *, row_number() OVER (PARTITION BY {key}, {skey('s')} ORDER BY pos) AS rn
+             FROM seq WHERE {skey('s')} <> '') WHERE rn = 1),
+single AS (SELECT {key}, string_agg(s, ' ' ORDER BY pos) AS body FROM firsts GROUP BY {key}),
+again AS (SELECT {key}, unnest(range(len(s))) AS pos, unnest(s) AS s
+          FROM (SELECT {key}, {sentences('body')} AS s FROM single)),
+kept AS (SELECT {key}, pos, {trim_edges('s')} AS s FROM again
+         WHERE {skey('s')} NOT IN (SELECT key FROM boiler)),
+joined AS (SELECT {key}, string_agg(s, ' ' ORDER BY pos) AS body FROM kept
+           WHERE {wc('s')} >= 3 GROUP BY {key}),
+content AS (SELECT d.{key}, d.{t} AS raw, coalesce(body, '') AS resolution_content,
+                   {wc('body')} AS content_words
+            FROM {src} d LEFT JOIN joined j ON j.{key} = d.{key})"""
+
+
+# --- TF-IDF and search -------------------------------------------------------
+
+def counts(name: str, src: str, key: str, t: str, bigrams: bool) -> str:
+    """CTE ``name (key, term, tf)`` over the relation ``src``."""
+    terms = with_bigrams("x") if bigrams else "x"
+    return f"""
+{name}_x AS (SELECT {key}, {tokens(t)} AS x FROM {src}),
+{name} AS (SELECT {key}, term, count(*) AS tf
+           FROM (SELECT {key}, unnest({terms}) AS term FROM {name}_x) GROUP BY {key}, term)"""
+
+
+def idf(name: str, tf: str, src: str, min_df: int = 1, max_features: int | None = None) -> str:
+    """CTE ``name (term, df, cf, idf)``."""
+    limit = f"ORDER BY cf DESC, term LIMIT {max_features}" if max_features else ""
+    return f"""
+{name} AS (SELECT term, df, cf, ln((1 + (SELECT count(*) FROM {src})) / (1 + df)::DOUBLE) + 1 AS idf
+           FROM (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {tf}
+                 GROUP BY term HAVING count(*) >= {min_df} {limit}))"""
+
+
+def weights(name: str, tf: str, idf_name: str, key: str) -> str:
+    """CTE ``name (key, term, w)`` with unit rows."""
+    return f"""
+{name}_raw AS (SELECT {key}, term, (ln(tf) + 1) * idf AS w FROM {tf} JOIN {idf_name} USING (term)),
+{name} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {name}_raw)"""
+
+
+def hits(
+    name: str, queries: str, corpus: str, qw: str, cw: str, k: int, where: str = "TRUE"
+) -> str:
+    """CTE ``name (query_id, rank, corpus_id, similarity)``; rows of
+    ``queries`` and ``corpus`` without a shared term score zero."""
+    return f"""
+{name}_dot AS (SELECT query_id, corpus_id, sum(q.w * c.w) AS s
+               FROM {qw} q JOIN {cw} c USING (term) GROUP BY query_id, corpus_id),
+{name}_all AS (SELECT q.query_id, c.corpus_id, round(coalesce(s, 0), 9) AS similarity
+               FROM (SELECT query_id FROM {queries}) q CROSS JOIN (SELECT corpus_id FROM {corpus}) c
+               LEFT JOIN {name}_dot d ON d.query_id = q.query_id AND d.corpus_id = c.corpus_id
+               WHERE {where}),
+{name} AS (SELECT * FROM (
+  SELECT query_id, corpus_id, similarity, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY similarity DESC, corpus_id) AS INT) AS rank FROM {name}_all)
+  WHERE rank <= {k} AND similarity >= 0)"""
+
+
+def sparse_hits(
+    name: str, queries: str, corpus: str, k: int, bigrams: bool = True, where: str = "TRUE"
+) -> str:
+    """All CTEs of a TF-IDF search of ``queries (query_id, text)`` in
+    ``corpus (corpus_id, text)``."""
+    return ",".join(
+        [
+            counts(f"{name}_ct", corpus, "corpus_id", "text", bigrams),
+            idf(f"{name}_idf", f"{name}_ct", corpus),
+            weights(f"{name}_cw", f"{name}_ct", f"{name}_idf", "corpus_id"),
+            counts(f"{name}_qt", queries, "query_id", "text", bigrams),
+            weights(f"{name}_qw", f"{name}_qt", f"{name}_idf", "query_id"),
+            hits(name, queries, corpus, f"{name}_qw", f"{name}_cw", k, where),
+        ]
+    )
+
+
+def dense_hits(name: str, k: int, where: str = "TRUE") -> str:
+    """Embeddings against themselves."""
+    return f"""
+{name} AS (SELECT * FROM (
+  SELECT query_id, corpus_id, similarity, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY similarity DESC, corpus_id) AS INT) AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id,
+               round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS similarity
+        FROM embeddings q CROSS JOIN embeddings c WHERE {where}))
+  WHERE rank <= {k} AND similarity >= 0)"""
+
+
+# --- documents with a conversation as tickets with a resolution --------------
+
+DESK = f"""
+heard AS ({spoken('user')}),
+told AS ({spoken('assistant')}),
+desk_raw AS (SELECT d.doc_id, 'DOC-' || d.doc_id AS ticket_id, d.text AS description,
+       d.lang AS category, CASE l.quality WHEN 1 THEN 'P3' WHEN 0 THEN 'P1' END AS priority,
+       told.body AS resolution, d.source
+  FROM documents d LEFT JOIN told ON told.conv_id = d.doc_id
+  LEFT JOIN labels l ON l.doc_id = d.doc_id),
+desk AS (SELECT * FROM desk_raw
+         WHERE {wc('description')} >= 3 AND {wc('resolution')} >= 5)"""
+
+CORPUS = f"""{DESK}, {content('desk', 'ticket_id', 'resolution')},
+usable AS (SELECT desk.* EXCLUDE (resolution), resolution_content AS resolution, content_words
+           FROM desk JOIN content USING (ticket_id) WHERE content_words >= 5),
+corpus AS (SELECT *, doc_id AS corpus_id, {first_words('description')} AS text FROM usable
+           WHERE doc_id IN (SELECT min(doc_id) FROM usable GROUP BY {text_key('description')}))"""
+
+ASKED = "asked AS (SELECT doc_id AS query_id, text FROM documents)"
+DESK_HITS = f"{CORPUS}, {ASKED}, {sparse_hits('hits', 'asked', 'corpus', fixed.TOP_K)}"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import text
-from triagelake.operators import cleaning, events, unify
+from triagelake.operators import cleaning, events, quality, retrieval, unify
+from triagelake.session import checkpoint
 from triagelake.sources.tables import Tables
 
 ORDER_PRIORITY = {"1-urgent": "P1", "2-high": "P2", "3-medium": "P3", "5-low": "P4"}
@@ -70,3 +71,42 @@ def unified(t: Tables) -> DataFrame:
             unify.adapt_tracker(tracker(t)),
         )
     )
+
+
+def desk(t: Tables) -> DataFrame:
+    """Documents as tickets; the conversation of the same id resolves them."""
+    told = unify.conversation_text(
+        utterances(t), {"reporter": "reported", "assignee": "resolution"}
+    )
+    levels = F.create_map(F.lit(1), F.lit("P3"), F.lit(0), F.lit("P1"))
+    labels = t.labels.select(
+        "doc_id", F.try_element_at(levels, F.col("quality")).alias("priority")
+    )
+    rows = (
+        t.documents.join(told, F.col("doc_id") == F.col("issueid"), "left")
+        .join(labels, "doc_id", "left")
+        .select(
+            "doc_id",
+            F.concat(F.lit("DOC-"), "doc_id").alias("ticket_id"),
+            F.col("text").alias("description"),
+            F.col("lang").alias("category"),
+            "priority",
+            "resolution",
+            "source",
+        )
+    )
+    return unify.add_usability_flags(rows)
+
+
+def desk_corpus(t: Tables) -> DataFrame:
+    """Retrieval corpus of the tickets, keyed ``corpus_id``."""
+    tickets = checkpoint(desk(t).where("retrievable"))
+    found = quality.boilerplate(tickets, "resolution")
+    content = quality.extract_content(tickets, "resolution", found, "ticket_id")
+    corpus = retrieval.build_corpus(tickets, content, "doc_id")
+    return checkpoint(corpus.withColumn("corpus_id", F.col("doc_id")))
+
+
+def asked(t: Tables) -> DataFrame:
+    """Every document as an incoming ticket."""
+    return t.documents.select(F.col("doc_id").alias("query_id"), "text")

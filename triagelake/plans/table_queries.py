@@ -477,29 +477,8 @@ def agg_unique_ids(t):
 
 # --- boilerplate and content -------------------------------------------------
 
-BOILER = f"""
-sent AS (SELECT doc_id, unnest({duck.sentences('text')}) AS s FROM documents),
-keys AS (SELECT DISTINCT doc_id, {duck.skey(duck.trim_edges('s'))} AS key FROM sent),
-boiler AS (SELECT key, count(*) AS docs, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS share
-           FROM keys WHERE key <> '' GROUP BY key
-           HAVING count(*) / (SELECT count(*) FROM documents)::DOUBLE >= 0.02)"""
-
-CONTENT = f"""{BOILER},
-seq AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS s
-        FROM (SELECT doc_id, {duck.sentences('text')} AS s FROM documents)),
-firsts AS (SELECT doc_id, pos, s FROM (
-             SELECT *, row_number() OVER (PARTITION BY doc_id, {duck.skey('s')} ORDER BY pos) AS rn
-             FROM seq WHERE {duck.skey('s')} <> '') WHERE rn = 1),
-single AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS text FROM firsts GROUP BY doc_id),
-again AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS s
-          FROM (SELECT doc_id, {duck.sentences('text')} AS s FROM single)),
-kept AS (SELECT doc_id, pos, {duck.trim_edges('s')} AS s FROM again
-         WHERE {duck.skey('s')} NOT IN (SELECT key FROM boiler)),
-joined AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS body FROM kept
-           WHERE {duck.wc('s')} >= 3 GROUP BY doc_id),
-content AS (SELECT d.doc_id, d.text, coalesce(body, '') AS resolution_content,
-                   {duck.wc('body')} AS content_words
-            FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id)"""
+BOILER = duck.boiler("documents", "doc_id", "text")
+CONTENT = duck.content("documents", "doc_id", "text")
 
 
 def content(t):
@@ -535,7 +514,7 @@ def agg_extract_content(t):
     f"""WITH {CONTENT}, f AS (SELECT unnest([5, 10, 20, 30, 50]) AS floor)
 SELECT CAST(floor AS INT) AS floor, count(*) FILTER (content_words >= floor) AS kept,
        {duck.pct('count(*) FILTER (content_words >= floor)', 'count(*)', 4)} AS kept_pct,
-       round(100.0::DOUBLE * (1.0::DOUBLE - sum(content_words) / sum({duck.wc('text')})::DOUBLE), 4) AS removed_pct
+       round(100.0::DOUBLE * (1.0::DOUBLE - sum(content_words) / sum({duck.wc('raw')})::DOUBLE), 4) AS removed_pct
 FROM content, f GROUP BY floor""",
 )
 def agg_content_floors(t):
