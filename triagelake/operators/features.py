@@ -96,7 +96,7 @@ def weigh(counts: DataFrame, terms: DataFrame, key: str, sublinear: bool = True)
     entry = F.when(F.col("w").isNotNull(), F.struct("term", "w"))
     rows = raw.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     square = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
-    rows = rows.withColumn("_norm", F.sqrt(square))
+    rows = settle(rows, _norm=F.sqrt(square))
     return rows.select(
         key,
         F.transform("e", lambda x: x["term"]).alias("terms"),

@@ -9,6 +9,10 @@ from pyspark.sql.utils import AnalysisException
 from triagelake.session import prepare
 
 
+# Tables of long texts, with the key to spread them by.
+TEXT_TABLES = {"documents": "doc_id"}
+
+
 class Tables:
     """Parquet tables of one folder, opened by attribute name."""
 
@@ -22,7 +26,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a piece of a table stored in fewer pieces than cores.
+
+    Text work is bound by CPU, and a file is read by one task per row group.
+    A large table has more pieces than the cluster has cores and is left
+    where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
