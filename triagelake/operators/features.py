@@ -81,25 +81,38 @@ def vocabulary(
     return terms.withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
 
 
-def weigh(counts: DataFrame, terms: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
-    """``(key, terms array<string>, weights array<double>)``, unit length.
+def weigh(
+    counts: DataFrame,
+    terms: DataFrame,
+    key: str,
+    sublinear: bool = True,
+    by: str = "term",
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """``(key, terms array, weights array<double>)``, unit length.
 
-    One row per document, terms in order; documents without a known term
-    keep empty arrays.
+    One row per document, entries in the order of ``by`` (the term or its
+    index).  Documents without a known term have no row, unless ``keys``
+    lists the documents that must have one.
     """
-    # The vocabulary may be large, so no broadcast hint: AQE picks it by size
+    # Either side may be large, so no broadcast hint: AQE picks it by size
     # and splits frequent terms of a shuffled join.
-    exploded = counts.select(key, F.inline_outer("counts"))
-    joined = exploded.join(terms.select("term", "idf"), "term", "left")
+    exploded = counts.select(key, F.inline("counts"))
+    known = terms.select("term", "idf", *([by] if by != "term" else []))
     tf = F.ln(F.col("tf")) + 1 if sublinear else F.col("tf")
-    raw = joined.select(key, "term", (tf * F.col("idf")).alias("w"))
-    entry = F.when(F.col("w").isNotNull(), F.struct("term", "w"))
+    raw = exploded.join(known, "term").select(
+        key, F.col(by).alias("t"), (tf * F.col("idf")).alias("w")
+    )
+    if keys is not None:
+        nothing = [F.lit(None).cast(raw.schema[c].dataType).alias(c) for c in ("t", "w")]
+        raw = raw.unionByName(keys.select(key, *nothing))
+    entry = F.when(F.col("w").isNotNull(), F.struct("t", "w"))
     rows = raw.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     square = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
     rows = settle(rows, _norm=F.sqrt(square))
     return rows.select(
         key,
-        F.transform("e", lambda x: x["term"]).alias("terms"),
+        F.transform("e", lambda x: x["t"]).alias("terms"),
         F.transform("e", lambda x: x["w"] / F.col("_norm")).alias("weights"),
     )
 
@@ -123,7 +136,7 @@ def tfidf(
     """Vectors of the documents, and the vocabulary to weigh others with."""
     counts = term_counts(with_terms(df, column, ngrams, stop_words), key)
     terms = vocabulary(counts, min_df, max_features)
-    return weigh(counts, terms, key, sublinear), terms
+    return weigh(counts, terms, key, sublinear, keys=df.select(key)), terms
 
 
 def tfidf_queries(
@@ -137,7 +150,7 @@ def tfidf_queries(
 ) -> DataFrame:
     """Vectors of new texts under an existing vocabulary."""
     counts = term_counts(with_terms(df, column, ngrams, stop_words), key)
-    return weigh(counts, terms, key, sublinear)
+    return weigh(counts, terms, key, sublinear, keys=df.select(key))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -49,7 +49,7 @@ def sparse_search(
     )
     # Used by the corpus and by the queries, so computed once.
     terms = checkpoint(features.vocabulary(counts).select("term", "idf"))
-    vectors = features.weigh(counts, terms, "corpus_id")
+    vectors = features.weigh(counts, terms, "corpus_id", keys=corpus.select("corpus_id"))
     asked = features.tfidf_queries(queries, "query_id", "text", terms, ngrams)
     return search.top_k(checkpoint(asked), vectors, "sparse", k, exclude_self, **options)
 
@@ -83,7 +83,7 @@ def save_index(corpus: DataFrame, path: str, ngrams: tuple[int, int] = (1, 2)) -
     corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
     features.vocabulary(counts).write.mode("overwrite").parquet(os.path.join(path, "terms"))
     terms = spark.read.parquet(os.path.join(path, "terms"))
-    vectors = features.weigh(counts, terms, "corpus_id")
+    vectors = features.weigh(counts, terms, "corpus_id", keys=corpus.select("corpus_id"))
     vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
 
 
