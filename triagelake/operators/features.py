@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
 from triagelake.operators.rows import settle
+from triagelake.session import checkpoint
+
+
+# A vocabulary capped to at most this many terms may be broadcast.
+BROADCAST_TERMS = 100_000
 
 
 def with_terms(
@@ -62,14 +67,15 @@ def term_counts(df: DataFrame, key: str, terms: str = "terms") -> DataFrame:
 
 
 def vocabulary(
-    counts: DataFrame, min_df: int = 1, max_features: int | None = None
+    counts: DataFrame, docs: DataFrame, min_df: int = 1, max_features: int | None = None
 ) -> DataFrame:
-    """``(term, df, cf, idf)`` over documents ``counts``.
+    """``(term, df, cf, idf)`` of the term counts of ``docs``.
 
     ``max_features`` keeps the terms most frequent in the corpus, ties by
     term.
     """
-    n = counts.agg(F.count("*")).scalar()
+    # Counted on the documents themselves, which reads no text.
+    n = docs.agg(F.count("*")).scalar()
     terms = (
         counts.select(F.inline("counts"))
         .groupBy("term")
@@ -88,28 +94,37 @@ def weigh(
     sublinear: bool = True,
     by: str = "term",
     keys: DataFrame | None = None,
+    keep: str | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """``(key, terms array, weights array<double>)``, unit length.
 
     One row per document, entries in the order of ``by`` (the term or its
     index).  Documents without a known term have no row, unless ``keys``
-    lists the documents that must have one.
+    lists the documents that must have one.  ``keep`` names a flag of
+    ``terms``: all terms count for the length, only flagged ones are kept.
     """
-    # Either side may be large, so no broadcast hint: AQE picks it by size
-    # and splits frequent terms of a shuffled join.
+    # The planner sizes exploded terms like the row they came from and would
+    # broadcast them; ``merge`` shuffles both sides, and AQE splits frequent
+    # terms.  Only a vocabulary capped to a few terms is broadcast.
     exploded = counts.select(key, F.inline("counts"))
-    known = terms.select("term", "idf", *([by] if by != "term" else []))
+    flag = F.lit(True) if keep is None else F.col(keep)
+    known = terms.select("term", "idf", flag.alias("_keep"), *([by] if by != "term" else []))
     tf = F.ln(F.col("tf")) + 1 if sublinear else F.col("tf")
+    known = F.broadcast(known) if bounded else known.hint("merge")
     raw = exploded.join(known, "term").select(
-        key, F.col(by).alias("t"), (tf * F.col("idf")).alias("w")
+        key, F.col(by).alias("t"), (tf * F.col("idf")).alias("w"), "_keep"
     )
     if keys is not None:
-        nothing = [F.lit(None).cast(raw.schema[c].dataType).alias(c) for c in ("t", "w")]
+        nothing = [
+            F.lit(None).cast(raw.schema[c].dataType).alias(c) for c in ("t", "w", "_keep")
+        ]
         raw = raw.unionByName(keys.select(key, *nothing))
-    entry = F.when(F.col("w").isNotNull(), F.struct("t", "w"))
-    rows = raw.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    square = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
-    rows = settle(rows, _norm=F.sqrt(square))
+    entry = F.when(F.col("_keep"), F.struct("t", "w"))
+    rows = raw.groupBy(key).agg(
+        F.sort_array(F.collect_list(entry)).alias("e"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
+    )
     return rows.select(
         key,
         F.transform("e", lambda x: x["t"]).alias("terms"),
@@ -135,8 +150,10 @@ def tfidf(
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors of the documents, and the vocabulary to weigh others with."""
     counts = term_counts(with_terms(df, column, ngrams, stop_words), key)
-    terms = vocabulary(counts, min_df, max_features)
-    return weigh(counts, terms, key, sublinear, keys=df.select(key)), terms
+    terms = vocabulary(counts, df, min_df, max_features)
+    bounded = max_features is not None and max_features <= BROADCAST_TERMS
+    rows = weigh(counts, terms, key, sublinear, keys=df.select(key), bounded=bounded)
+    return rows, terms
 
 
 def tfidf_queries(
@@ -150,7 +167,15 @@ def tfidf_queries(
 ) -> DataFrame:
     """Vectors of new texts under an existing vocabulary."""
     counts = term_counts(with_terms(df, column, ngrams, stop_words), key)
-    return weigh(counts, terms, key, sublinear, keys=df.select(key))
+    # The terms asked for are written first, so that their measured size
+    # decides how they are looked up in the vocabulary.
+    known = terms.join(asked_terms(counts), "term", "left_semi")
+    return weigh(counts, known, key, sublinear, keys=df.select(key))
+
+
+def asked_terms(counts: DataFrame) -> DataFrame:
+    """Distinct terms of some texts, as a table of known size."""
+    return checkpoint(counts.select(F.inline("counts")).select("term").distinct())
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

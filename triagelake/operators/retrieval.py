@@ -44,14 +44,25 @@ def sparse_search(
 ) -> DataFrame:
     """TF-IDF search.  ``queries (query_id, text)``, ``corpus (corpus_id,
     text)``; the vocabulary is fitted on the corpus alone."""
-    counts = features.term_counts(
-        features.with_terms(corpus, "text", ngrams), "corpus_id"
+    counts = features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id")
+    asked_counts = features.term_counts(
+        features.with_terms(queries, "text", ngrams), "query_id"
     )
-    # Used by the corpus and by the queries, so computed once.
-    terms = checkpoint(features.vocabulary(counts).select("term", "idf"))
-    vectors = features.weigh(counts, terms, "corpus_id", keys=corpus.select("corpus_id"))
-    asked = features.tfidf_queries(queries, "query_id", "text", terms, ngrams)
-    return search.top_k(checkpoint(asked), vectors, "sparse", k, exclude_self, **options)
+    asked = features.asked_terms(asked_counts)
+    # Corpus terms that no query holds count for the length of a document,
+    # but are not carried into the scoring.
+    terms = checkpoint(
+        features.vocabulary(counts, corpus)
+        .select("term", "idf")
+        .join(asked.withColumn("asked", F.lit(True)), "term", "left")
+    )
+    vectors = features.weigh(
+        counts, terms, "corpus_id", keys=corpus.select("corpus_id"), keep="asked"
+    )
+    wanted = features.weigh(
+        asked_counts, terms.where("asked"), "query_id", keys=queries.select("query_id")
+    )
+    return search.top_k(checkpoint(wanted), vectors, "sparse", k, exclude_self, **options)
 
 
 def dense_search(
@@ -81,7 +92,7 @@ def save_index(corpus: DataFrame, path: str, ngrams: tuple[int, int] = (1, 2)) -
     counts = features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id")
     spark = corpus.sparkSession
     corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
-    features.vocabulary(counts).write.mode("overwrite").parquet(os.path.join(path, "terms"))
+    features.vocabulary(counts, corpus).write.mode("overwrite").parquet(os.path.join(path, "terms"))
     terms = spark.read.parquet(os.path.join(path, "terms"))
     vectors = features.weigh(counts, terms, "corpus_id", keys=corpus.select("corpus_id"))
     vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))

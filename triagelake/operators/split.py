@@ -116,4 +116,5 @@ def shuffled_labels(
     drawn = sliced_row_number(
         salted, ["perm"], md5_slice(F.col("_digest")), [F.col("_digest"), F.col(key)], rank="_rank"
     ).select("perm", "_rank", label)
-    return drawn.join(base, "_rank").select("perm", key, label)
+    # Drawn rows outnumber the planner's guess, so they are never broadcast.
+    return drawn.join(base.hint("merge"), "_rank").select("perm", key, label)
