@@ -4,7 +4,18 @@ import importlib
 
 from triagelake.plans.registry import ORACLES, QUERIES
 
-for _name in ("cleaning_queries", "text_queries", "table_queries", "search_queries", "answer_queries", "model_queries", "fitted_queries"):
+MODULES = (
+    "cleaning_queries",
+    "text_queries",
+    "table_queries",
+    "search_queries",
+    "answer_queries",
+    "model_queries",
+    "fitted_queries",
+    "stream_queries",
+)
+
+for _name in MODULES:
     importlib.import_module(f"triagelake.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
