@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.functions import fixed, text
+from triagelake.operators.rows import settle
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -124,7 +125,7 @@ def audit_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def add_text_stats(df: DataFrame, source: str, clean: str = "corpus_clean") -> DataFrame:
     """Cleaned text, its length in characters and words, and whether empty."""
-    with_text = df.withColumn(clean, text.strip_markup(F.col(source)))
+    with_text = settle(df, **{clean: text.strip_markup(F.col(source))})
     n = text.word_count(F.col(clean))
     return with_text.withColumns(
         {

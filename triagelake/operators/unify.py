@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
+from triagelake.operators.rows import settle
 from triagelake.sources.tables import require_columns
 
 TURNS_PER_PIECE = 1000
@@ -61,9 +62,10 @@ def adapt_incidents(incidents: DataFrame) -> DataFrame:
 def adapt_tracker(issues: DataFrame) -> DataFrame:
     """Issue tracker: text and project key, no priority or resolution."""
     require_columns(issues, "id", "corpus_clean", "project_key")
+    clean = settle(issues, corpus_clean=text.collapse_ws(F.col("corpus_clean")))
     return adapt(
-        issues, "JOS-", F.col("id"), "jira_project", "josse",
-        description=text.collapse_ws(F.col("corpus_clean")),
+        clean, "JOS-", F.col("id"), "jira_project", "josse",
+        description=F.col("corpus_clean"),
         category=F.col("project_key"),
     )
 
@@ -142,11 +144,10 @@ def add_usability_flags(
     min_resolution: int = fixed.MIN_RESOLUTION_WORDS,
 ) -> DataFrame:
     """Word counts and the five flags; flags are never NULL."""
-    counted = df.withColumns(
-        {
-            "description_word_count": text.word_count(F.col("description")),
-            "resolution_word_count": text.word_count(F.col("resolution")),
-        }
+    counted = settle(
+        df,
+        description_word_count=text.word_count(F.col("description")),
+        resolution_word_count=text.word_count(F.col("resolution")),
     )
     described = F.col("description_word_count") >= min_description
     resolved = F.col("resolution_word_count") >= min_resolution
