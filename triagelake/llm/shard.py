@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.session import checkpoint
+
 BUCKET_BYTES = 16 << 20
 ROW_BYTES = 16
 ADDED = ("shard", "grown_shard", "bucket", "place", "slot")
@@ -54,12 +56,12 @@ def write_shards(
     dealt = picked.select(
         F.col("to.shard").alias("shard"), F.col("to.grown_shard").alias("grown_shard"),
         bucket.cast("int").alias("bucket"), "record",
-    ).repartitionById(n, (F.col("shard") * per_shard + F.col("bucket")).cast("int"))
-    # One bucket a task and a fixed order first: the seed then decides the result.
+    ).repartition(n, "shard", "bucket")
     gathered = dealt.groupBy("shard", "bucket").agg(
         F.sort_array(F.collect_list(F.struct("record", "grown_shard"))).alias("rows")
     )
-    shuffled = gathered.select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
+    # In a fixed order of records and buckets, the seed decides the result.
+    shuffled = gathered.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
     placed = shuffled.select("shard", "bucket", F.posexplode("rows").alias("place", "row"))
     placed.select(
         "shard", "bucket", "place", "row.grown_shard",
@@ -74,8 +76,9 @@ def read_shards(spark, path: str) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.select(
+    # Written, so that its size is known and the records need not move to meet it.
+    offsets = checkpoint(counts.select(
         "shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
-    )
+    ))
     slot = (F.col("_before") + F.col("place")).cast("long")
     return rows.join(offsets, ["shard", "bucket"]).withColumn("slot", slot).drop("_before")
