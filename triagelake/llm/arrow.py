@@ -131,4 +131,4 @@ def _several(held, key):
 
 def bounds(k: np.ndarray) -> np.ndarray:
     """Where the groups of a sorted array begin, and its length."""
-    return np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
+    return np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)] if len(k) else np.zeros(1, np.int64)

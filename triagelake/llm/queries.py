@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import chat, quality, shard, urls
-from triagelake.session import new_dir
+from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, secrets, shard, urls
+from triagelake.session import checkpoint, new_dir
 
 SHARDS = 40
+TOKENIZER = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_decontamination(spark, folder):
+    """Every place of a benchmark item in a document."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_sharding(spark, folder):
     """Documents in 40 shards by the law ``key``, read from the written files."""
     path = new_dir(spark, "shards")
@@ -37,6 +44,38 @@ def op3_url_filters(spark, folder):
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op4_ngram_join(spark, folder):
+    """Set size and component of every document at a Jaccard of 0.8."""
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
+def op5_packing(spark, folder):
+    """The sequence and offset of every piece of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    cut = packing.pieces(documents, public_tokenizers.path(TOKENIZER))
+    # The ids stay behind; places need lengths alone.
+    light = checkpoint(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(light, ["doc_id", "piece"])
+
+
+def op6_secrets(spark, folder):
+    """Counts and places of the secrets of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find(documents, secrets.train(documents))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_embedding_dedup(spark, folder):
+    """Links, component and keeper of every vector at a cosine of 0.9."""
+    return embed_dedup.dedup(table(spark, folder, "embeddings"))
+
+
 def op9_chat_formatting(spark, folder):
     """Every maximal conversation, rendered."""
     return chat.render(table(spark, folder, "conversations"))
@@ -54,8 +93,13 @@ def op10_quality(spark, folder):
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_join": op4_ngram_join,
+    "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,
 }
