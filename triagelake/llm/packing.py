@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.llm.arrow import record_batches
+from triagelake.llm.names import fresh
 
 LENGTH, END_ID = 2048, 0
 OPEN = 1 << 16
@@ -68,6 +69,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
     """The other columns of ``df``, and ``piece, start, length, ids`` of each piece."""
     added = ["piece", "start", "length", "ids"]
     keep = [c for c in df.columns if c not in [*added, text]]
+    body = fresh("_text", keep)
     schema = T.StructType([df.schema[c] for c in keep])
     for name, kind in zip(added, (T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType())):
         schema = schema.add(name, kind)
@@ -77,7 +79,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
         encoder = Encoder(tokenizer)
         for batch in record_batches(batches, 8 << 20):
             row, piece, ids = [], [], []
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(body).to_pylist()]
             for r, b in enumerate(encoder.encode(texts)):
                 b += end
                 for p, at in enumerate(range(0, len(b), 4 * length)):
@@ -90,7 +92,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
             columns = [*taken.columns, pa.array(piece, pa.int32()), start, size, pa.array(ids, pa.binary())]
             yield pa.record_batch(columns, names=[*keep, *added])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 class Bins:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.llm.arrow import BYTE, mix, pieces, range_hashes, record_batches, utf8, words
+from triagelake.llm.names import fresh
 
 BITS = 18
 # At most so many labelled rows are fitted on, the least by a hash of the id.
@@ -133,12 +134,13 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
 
 def score(df: DataFrame, weights: np.ndarray, text: str = "text", keep=()) -> DataFrame:
     """The columns ``keep`` and ``score``, the probability of label 1."""
+    body = fresh("_text", list(keep))
     model = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches):
         w = model.value
         for batch in record_batches(batches):
-            data, off = utf8(batch.column("_text"))
+            data, off = utf8(batch.column(body))
             total = np.full(batch.num_rows, 0.2 * float(w[-1]))
             for i, j in pieces(off):
                 r, x, v = features(data, off, i, j)
@@ -147,7 +149,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", keep=()) -> Da
             yield pa.record_batch([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*keep, "score"])
 
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, secrets, shard, urls
+from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, secrets, shard, suffix, urls
 from triagelake.session import checkpoint, new_dir
 
 SHARDS = 40
@@ -71,6 +71,14 @@ def op6_secrets(spark, folder):
     )
 
 
+def op7_suffix_dedup(spark, folder):
+    """What is left of every document without strings of 100 bytes seen before."""
+    return suffix.dedup(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_embedding_dedup(spark, folder):
     """Links, component and keeper of every vector at a cosine of 0.9."""
     return embed_dedup.dedup(table(spark, folder, "embeddings"))
@@ -99,6 +107,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.names import fresh
+
 # Kinds and patterns of the result, in their order.
 KINDS = ["assign", "access", "hex", "model"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -132,10 +134,13 @@ def find(df: DataFrame, model: list[float], text: str = "text", least: float = L
     body = F.coalesce(F.col(text), F.lit(""))
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     runs = F.filter(matches(body, RUN, 3), lambda s: ratio(s["value"], table) >= least)
+    # A generator of one row keeps the scans from being repeated where they are used.
     one = F.array(F.struct(base_spans(body).alias("base"), gated(body, RUN, runs).alias("runs")))
-    found = df.drop("spans").select("*", F.inline(one))
-    apart = lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
-    return found.withColumn("spans", F.array_sort(F.concat("base", F.filter("runs", apart)))).drop("base", "runs")
+    df = df.drop("spans")
+    base, added = fresh("_base", df.columns), fresh("_runs", df.columns)
+    found = df.select("*", F.inline(one).alias(base, added))
+    apart = lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
+    return found.withColumn("spans", F.array_sort(F.concat(base, F.filter(added, apart)))).drop(base, added)
 
 
 def written(spans: Column) -> Column:

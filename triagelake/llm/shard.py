@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.llm.names import fresh
 from triagelake.session import checkpoint
 
 BUCKET_BYTES = 16 << 20
@@ -50,9 +51,10 @@ def write_shards(
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     n = shards * per_shard
-    record = F.struct(F.xxhash64(F.lit(seed), *df.columns).alias("_order"), *df.columns)
+    order = fresh("_order", df.columns)
+    record = F.struct(F.xxhash64(F.lit(seed), *df.columns).alias(order), *df.columns)
     picked = df.select(pick_shard(key, seed, shards).alias("to"), record.alias("record"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("record._order")), F.lit(per_shard))
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"record.{order}")), F.lit(per_shard))
     dealt = picked.select(
         F.col("to.shard").alias("shard"), F.col("to.grown_shard").alias("grown_shard"),
         bucket.cast("int").alias("bucket"), "record",

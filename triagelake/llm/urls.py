@@ -24,6 +24,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.names import fresh
+
 # Base rules of the result, (verdict, rule), host before path.
 BASE_RULES = [
     ("block", "net/"),
@@ -101,11 +103,15 @@ def judge(
     candidates = tokens.join(F.broadcast(index), "token").select("_target", F.explode("rules").alias("_rule"))
     matched = candidates.where(F.regexp_like("_target", "_rule.regex"))
     best = matched.groupBy("_target").agg(F.max("_rule").alias("_best"))
-    judged = df.withColumn("_target", F.concat("host", "path")).join(best, "_target", "left")
-    is_base = F.col("_best.kind") == 1
+    # Names of the pages' own columns may be any.
+    target = fresh("_target", df.columns)
+    best = best.withColumnRenamed("_target", target).withColumnRenamed("_best", f"{target}_best")
+    judged = df.withColumn(target, F.concat("host", "path")).join(best, target, "left")
+    found = F.col(f"{target}_best")
+    is_base = found["kind"] == 1
     return judged.select(
         *[F.col(c) for c in df.columns],
-        F.when(is_base, F.col("_best.rule")).alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.lit("allow")).alias("verdict"),
-        F.when(~is_base, F.col("_best.rule")).alias("pattern"),
+        F.when(is_base, found["rule"]).alias("rule"),
+        F.coalesce(found["verdict"], F.lit("allow")).alias("verdict"),
+        F.when(~is_base, found["rule"]).alias("pattern"),
     )
