@@ -179,34 +179,63 @@ def merged(places):
     return out
 
 
+def item_blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
+    """Lists of ``(item, text)`` of about ``block_chars`` characters, one at a time."""
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text"))
+    items = items.where(F.length("text") >= LEAST)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [tuple(r) for r in items.where(block == b).distinct().collect()]
+
+
 def leaks(
     documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
     item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``key, item_id, start, end, edits`` of every place of an item in a text."""
-    spark = documents.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"))
-    items = items.where(F.length("text") >= LEAST)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     schema = T.StructType([documents.schema[key]])
     for name in ("item_id", "start", "end", "edits"):
         schema = schema.add(name, T.LongType())
     source = documents.select(F.col(key), F.col(text).alias("_text"))
     out = None
-    for b in range(blocks):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(block == b).distinct().collect()])
-        found = source.mapInArrow(lambda batches, shared=shared: scan(batches, Index(shared.value), key), schema)
+    for items in item_blocks(benchmark, item, item_text, block_chars):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            for batch, rows in scan(batches, Index(shared.value), "_text"):
+                ids = batch.column(key).take(pa.array([r[0] for r in rows], pa.int64()))
+                rest = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5)]
+                yield pa.record_batch([ids, *rest], names=schema.names)
+
+        found = source.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def scan(batches, index: Index, key: str):
-    """Search every text of the batches, many short ones at a time."""
-    names = [key, "item_id", "start", "end", "edits"]
+def without_leaks(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text",
+    item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``documents`` whose text holds no item."""
+    for items in item_blocks(benchmark, item, item_text, block_chars):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            for batch, rows in scan(batches, Index(shared.value), text):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r[0] for r in rows]] = False
+                yield batch.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
+def scan(batches, index: Index, column: str):
+    """Batches with the places in their texts, many short texts searched at a time."""
     for batch in record_batches(batches, 8 << 20):
-        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        texts = [t or "" for t in batch.column(column).to_pylist()]
         places, i = [], 0
         while i < len(texts):
             j, n = i, 0
@@ -218,7 +247,4 @@ def scan(batches, index: Index, key: str):
             found = index.search(c, np.r_[0, np.cumsum(sizes)[:-1]])
             places += [(i + r, *rest) for r, *rest in found]
             i = j
-        rows = merged(places)
-        ids = batch.column(key).take(pa.array([r[0] for r in rows], pa.int64()))
-        rest = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5)]
-        yield pa.record_batch([ids, *rest], names=names)
+        yield batch, merged(places)

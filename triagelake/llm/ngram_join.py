@@ -43,7 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 KEYS, ROWS = 20, 3
 TILE = 4096
-TILE_BYTES = 32 << 20
+TILE_BYTES = 8 << 20
 LEAST_BITS, MOST_BITS = 128, 1 << 16
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) for i in range(SHINGLE + KEYS * ROWS)], np.uint64)
 FLIP = mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64))

@@ -25,11 +25,12 @@ from pyspark.sql import types as T
 
 from triagelake.llm.arrow import BYTE, mix, pieces, range_hashes, record_batches, utf8, words
 from triagelake.llm.names import fresh
+from triagelake.session import checkpoint
 
 BITS = 18
 # At most so many labelled rows are fitted on, the least by a hash of the id.
 SAMPLE = 20_000
-PARTS = 4
+PART = 5_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
@@ -117,15 +118,18 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     """Weights, the bias last, from at most ``sample`` labelled rows.
 
     Rows are taken in the order of a hash of the id; the id sets are bounded
-    by ``sample`` and so may be broadcast.
+    by ``sample`` and so may be broadcast.  A task fits about ``PART`` of them.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("target"))
     known = known.orderBy(F.xxhash64(F.lit(3), key), key).limit(sample)
+    known = checkpoint(known)
+    tasks = max(1, -(-known.count() // PART))
     rows = documents.select(key, text).join(F.broadcast(known), key)
-    part = F.pmod(F.xxhash64(F.lit(4), key), F.lit(PARTS))
-    parts = rows.select(F.col(text).alias("text"), "target", part.alias("part")).repartition(PARTS, "part").sortWithinPartitions("text", "target")
+    part = F.pmod(F.xxhash64(F.lit(4), key), F.lit(tasks))
+    parts = rows.select(F.col(text).alias("text"), "target", part.alias("part"))
+    parts = parts.repartitionById(tasks, F.col("part").cast("int")).sortWithinPartitions("text", "target")
     found = parts.drop("part").mapInArrow(fit_part, "index long, weight double")
-    mean = found.groupBy("index").agg((F.sum("weight") / PARTS).alias("weight")).collect()
+    mean = found.groupBy("index").agg((F.sum("weight") / tasks).alias("weight")).collect()
     weights = np.zeros((1 << BITS) + 1)
     for r in mean:
         weights[r["index"]] = r["weight"]
