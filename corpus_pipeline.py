@@ -1,25 +1,68 @@
-"""From raw documents to packed training sequences, in stages of the operators."""
+"""From raw documents to packed training sequences, in stages of the operators.
+
+Each stage works on all that the one before it kept.  Rows with NULL id or
+text, empty and repeated rows pass through as the operators define; a row that
+repeats id and text counts as a copy of it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triagelake.llm import quality
-from triagelake.session import new_dir
+from triagelake.llm import decontaminate, ngram_join, packing, quality, secrets
+from triagelake.session import checkpoint, new_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs.select(*COLUMNS), weights, keep=COLUMNS)
-    return scored.where(scored["score"] >= quality.THRESHOLD).select(*COLUMNS)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least id."""
+    joined = ngram_join.join(docs)
+    lost = checkpoint(joined.where("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.select(*COLUMNS).join(lost, "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_leaks(docs.select(*COLUMNS), benchmark)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked."""
+    found = secrets.find(docs.select(*COLUMNS), secrets.train(docs))
+    clean = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
+    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", size).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece in a training sequence."""
+    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    light = checkpoint(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(light, ["doc_id", "piece"])
 
 
-STAGES = [("quality classifier", quality_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", join_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
 
-# The classifier's weights and the tokenizer have no SQL form.
+# Weights, tokens and packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
