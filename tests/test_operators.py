@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake import session
 from triagelake.operators import (
-    evaluate, events, filters, models, ranks, recommend, retrieval, search, split, topics, unify,
+    evaluate, events, filters, models, quality, ranks, recommend, retrieval, search, split, topics,
+    unify,
 )
 from triagelake.sources import tables
 from triagelake.streaming import jobs
@@ -265,3 +267,95 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     got = jobs.read_latest(spark, sink, df.schema, "number", "ts", "event_id")
     want = events.snapshot(df, "number", "ts", "event_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_keeps_late_events(spark, tmp_path):
+    """One file per trigger, and an incident whose only event is 30 days late."""
+    day = 86_400
+    parts = [[(1, 1, 40 * day), (2, 2, 41 * day)], [(3, 1, 42 * day)], [(4, 3, 12 * day), (3, 1, 42 * day)]]
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "event_id long, number int, at long").select(
+            "event_id", "number", F.timestamp_seconds("at").alias("ts")
+        )
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        next((tmp_path / f"part{i}").glob("part-*.parquet")).rename(source / f"{i}.parquet")
+    stream = jobs.read_stream(spark, str(source), df.schema, files_per_batch=1)
+    jobs.latest_states(stream, "number", "ts", "event_id", sink, str(tmp_path / "st")).awaitTermination()
+    got = jobs.read_latest(spark, sink, df.schema, "number", "ts", "event_id").collect()
+    assert sorted((r.number, r.event_id) for r in got) == [(1, 3), (2, 2), (3, 4)]
+
+
+def test_many_labels_are_stripped_as_few_are(spark):
+    labels = ["vpn", "VPN client", "c++", "a.b", "#tag", "++", "über maß", None] + [f"l{i} x{i % 7}" for i in range(3000)]
+    texts = [
+        "The VPN-12 and vpn client-3, vpnx xvpn", "c++ a.b axb A.B-1", "x#tag #tag", "a++b", "ÜBER MASS über maß-9.",
+        "l17 x3 l17 x4 l2999 x3-5", "", None, "the vpn, vpn vpn",
+    ]
+    df = spark.createDataFrame([(i, labels[i % len(labels)], texts[i % len(texts)]) for i in range(len(labels))], "id int, label string, t string")
+    one = {r.id: r.t for r in filters.strip_labels(df, "t", "label", pattern_labels=10_000).collect()}
+    assert {r.id: r.t for r in filters.strip_labels(df, "t", "label", pattern_labels=5).collect()} == one
+    assert one[0] == "The and , vpnx xvpn"
+
+
+def test_content_of_null_text_is_empty_either_way(spark):
+    df = spark.createDataFrame([("a", None), ("b", "Fixed the thing today. Regards all of you")], "key string, r string")
+    found = spark.createDataFrame([("regards all of you",)], "key string")
+    for limit in (0, 100):
+        rows = {r.key: r for r in quality.extract_content(df, "r", found, "key", inline_keys=limit).collect()}
+        assert rows["a"].resolution_content == "" and rows["a"].content_words == 0
+        assert rows["b"].resolution_content == "Fixed the thing today"
+
+
+def test_zero_vectors_stay_zero(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id int, v array<double>")
+    assert {r.id: r.v for r in topics.unit(df, "v").collect()} == {1: [0.0, 0.0], 2: [0.6, 0.8]}
+
+
+def test_no_task_emits_more_than_k_rows_per_query(spark):
+    rows = [(f"d{i:03}", [float(i), 1.0]) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "corpus_id string, vector array<double>").repartition(2)
+    queries = spark.createDataFrame([(f"q{i}", [1.0, float(i)]) for i in range(20)], "query_id string, vector array<double>")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        assert search._broadcast_search(queries, corpus, "dense", 5, False).count() <= 20 * 5 * 2
+        got = search.top_k(queries, corpus, "dense", 2).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.query_id, r["rank"], r.corpus_id) for r in got} == {(f"q{i}", n, f"d{400 - n}") for i in range(20) for n in (1, 2)}
+    blocks = search.top_k(queries, corpus, "dense", 2, broadcast_bytes=0, query_block=10, corpus_block=100).collect()
+    assert sorted(blocks) == sorted(got)
+
+
+def test_vocabulary_is_numbered_without_gaps(spark):
+    terms = spark.range(60_000).select(F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("idf"))
+    got = sorted(r.ix for r in models.indexed_vocabulary(terms).collect())
+    assert got == list(range(60_000))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        conf = Conf(**{"spark.master": "yarn", "spark.app.id": "x"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+    Session.conf = Conf(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///steps/"})
+    assert session.new_dir(Session(), "a").startswith("hdfs:///steps/a-")
+
+
+def test_cleanup_removes_the_steps(spark):
+    import pathlib
+
+    path = pathlib.Path(session.new_dir(spark, "step"))
+    spark.range(3).write.parquet(str(path))
+    assert path.exists() and session.cleanup(spark) >= 1 and not path.exists()

@@ -87,6 +87,8 @@ N_SPLITS = 5
 N_REPEATS = 5
 N_PERMUTATIONS = 100
 MIN_CALIBRATION_CLASS = 15
+LOGREG_MAX_ITER = 1000
+LINSVC_MAX_ITER = 5000
 CONFIDENCE_FLOORS = {"category": 0.35, "priority": 0.65}
 DEFAULT_CONFIDENCE_FLOOR = 0.35
 
@@ -97,6 +99,7 @@ MARGINAL_BAND = 0.10
 RECALL_AT = (1, 3, 5, 10)
 TOPIC_K_RANGE = tuple(range(3, 16))
 TOPIC_RESTARTS = 10
+TOPIC_MAX_ITER = 300
 TOPIC_TERMS = 6
 TOPIC_LABEL_TERMS = 3
 MAX_STEPS = 6

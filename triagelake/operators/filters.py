@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
 
-# Labels folded into one pattern.
-MAX_PATTERN_LABELS = 5000
+# Labels folded into one pattern; more are looked up by their words.
+PATTERN_LABELS = 1000
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def one_scheme(df: DataFrame, scheme: str) -> DataFrame:
@@ -37,22 +38,47 @@ def min_words(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.where(text.word_count(F.col(column)) >= n)
 
 
-def strip_labels(df: DataFrame, column: str, label: str) -> DataFrame:
+def strip_labels(
+    df: DataFrame, column: str, label: str, pattern_labels: int = PATTERN_LABELS
+) -> DataFrame:
     """Remove every known label, with any ``-<number>``, from the text.
 
-    The distinct labels become one pattern.  A label vocabulary is small by
-    nature; past ``MAX_PATTERN_LABELS`` the pattern is refused, not cut.
+    Up to ``pattern_labels`` labels become one pattern.  Beyond, a text's words
+    fetch the labels that may stand in it, and they alone make its pattern,
+    which removes the same.
     """
-    known = df.select(label).where(F.col(label).isNotNull()).distinct()
-    labels = [r[0] for r in known.limit(MAX_PATTERN_LABELS + 1).collect()]
-    if len(labels) > MAX_PATTERN_LABELS:
-        raise ValueError(f"more than {MAX_PATTERN_LABELS} labels in {label}")
+    known = df.select(F.col(label).cast("string").alias("label")).where("label is not null").distinct()
+    labels = [r[0] for r in known.limit(pattern_labels + 1).collect()]
+    if len(labels) > pattern_labels:
+        return _strip_fetched(df, column, known)
     if not labels:
         return df.withColumn(column, text.squeeze(F.col(column)))
     pattern = text.label_pattern(labels)
     return df.withColumn(column, text.strip_pattern(F.col(column), pattern))
 
 
+def _strip_fetched(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``strip_labels`` for any number of labels, by a join on words.
+
+    A label that stands in a text at word boundaries has its first word there
+    as a whole word.  Labels without a word are fetched by every text.
+    """
+    words = F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
+    texts = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    texts = texts.select(F.sha2(column, 256).alias("_text"), words.alias("words"))
+    asked = texts.select("_text", F.explode(F.array_append(F.array_distinct("words"), "")).alias("word"))
+    filed = known.select("label", F.lower(F.regexp_extract("label", WORD, 0)).alias("word"))
+    escaped = F.regexp_replace("label", r"([^\p{L}\p{N}_\s])", r"\\$1")
+    fetched = asked.join(filed, "word").select("_text", F.struct(-F.length("label"), "label", escaped.alias("e")).alias("l"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_set("l")), lambda x: x["e"]), "|")
+    patterns = fetched.groupBy("_text").agg(
+        F.concat(F.lit(r"(?iU)\b(?:"), body, F.lit(r")(?:-\d+)?\b")).alias("_pattern")
+    )
+    rows = df.withColumn("_text", F.sha2(column, 256)).join(patterns, "_text", "left")
+    cut = F.regexp_replace(F.col(column), F.coalesce("_pattern", F.lit(r"(?!)")), F.lit(" "))
+    return rows.withColumn(column, text.squeeze(cut)).select(*df.columns)
+
+
 def keep_first_text(df: DataFrame, column: str, key: str) -> DataFrame:
     """One row per normalised text: the one with the smallest id.
 

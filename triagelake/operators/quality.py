@@ -88,11 +88,11 @@ def extract_content(
         known = found.agg(F.collect_set("key")).scalar()
         kept = F.filter(spoken, lambda s: ~F.array_contains(F.col("_known"), probe(s)))
         done = single.withColumn("_known", known)
-        done = settle(done, resolution_content=content_of(kept))
+        done = settle(done, resolution_content=F.coalesce(content_of(kept), F.lit("")))
     else:
         exploded = single.select(key, F.posexplode(spoken).alias("pos", "s"))
-        exploded = exploded.withColumn("key", probe(F.col("s")))
-        left = exploded.join(found, "key", "left_anti")
+        exploded = exploded.withColumn("_probe", probe(F.col("s")))
+        left = exploded.join(found.withColumnRenamed("key", "_probe"), "_probe", "left_anti")
         ordered = F.sort_array(F.collect_list(F.struct("pos", "s")))
         kept = F.transform(ordered, lambda x: x["s"])
         per_row = left.groupBy(key).agg(content_of(kept).alias("resolution_content"))

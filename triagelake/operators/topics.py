@@ -24,9 +24,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(df: DataFrame, vector: str) -> DataFrame:
-    """Scale a vector column to unit length."""
+    """Scale a vector column to unit length; a zero vector stays zero."""
     df = settle(df, _n=F.sqrt(dot(F.col(vector), F.col(vector))))
-    return df.withColumn(vector, F.transform(vector, lambda v: v / F.col("_n"))).drop("_n")
+    return df.withColumn(vector, F.transform(vector, lambda v: F.coalesce(F.try_divide(v, F.col("_n")), F.lit(0.0)))).drop("_n")
 
 
 def cluster_sums(df: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -90,6 +90,7 @@ def choose_k(
     restarts: int = fixed.TOPIC_RESTARTS,
     seed: int = fixed.SEED,
     parallelism: int = 4,
+    max_iter: int = fixed.TOPIC_MAX_ITER,
 ) -> tuple[DataFrame, object, DataFrame]:
     """k-means per k with restarts; silhouette of the best run of each k.
 
@@ -103,7 +104,9 @@ def choose_k(
 
     def run(job):
         k, r = job
-        model = KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="cluster").fit(points)
+        model = KMeans(
+            k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="cluster"
+        ).fit(points)
         return k, float(model.summary.trainingCost), model
 
     with ThreadPool(parallelism) as pool:

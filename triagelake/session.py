@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the operators rely on; called whenever tables are opened."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Where every shuffled piece is measured small, hash instead of sort.
-    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+    """Check the one setting the operators rely on: times are read in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in a local test, does a temporary folder take its place.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session whose executors are threads of this machine gets a temporary
+    folder; any other is refused, as its executors would not see one.
     """
     root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        root = tempfile.mkdtemp(prefix="triagelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="triagelake-")
+    return _local[app]
+
+
+_local: dict[str, str] = {}
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.conf.get("spark.app.id", ""), []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove every folder this session made by ``new_dir``, once their
+    results have been written; returns how many there were."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.conf.get("spark.app.id", ""), [])
+    removed = 0
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        removed += where.getFileSystem(conf).delete(where, True)
+    return removed
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
