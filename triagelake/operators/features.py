@@ -105,13 +105,14 @@ def weigh(
     ``terms``: all terms count for the length, only flagged ones are kept.
     """
     # The planner sizes exploded terms like the row they came from and would
-    # broadcast them; ``merge`` shuffles both sides, and AQE splits frequent
-    # terms.  Only a vocabulary capped to a few terms is broadcast.
+    # broadcast them; the hint shuffles both sides and hashes the vocabulary,
+    # so exploded terms are not sorted, and AQE splits frequent ones.  Only a
+    # vocabulary capped to a few terms is broadcast.
     exploded = counts.select(key, F.inline("counts"))
     flag = F.lit(True) if keep is None else F.col(keep)
     known = terms.select("term", "idf", flag.alias("_keep"), *([by] if by != "term" else []))
     tf = F.ln(F.col("tf")) + 1 if sublinear else F.col("tf")
-    known = F.broadcast(known) if bounded else known.hint("merge")
+    known = F.broadcast(known) if bounded else known.hint("shuffle_hash")
     raw = exploded.join(known, "term").select(
         key, F.col(by).alias("t"), (tf * F.col("idf")).alias("w"), "_keep"
     )
@@ -149,10 +150,10 @@ def tfidf(
     stop_words=fixed.STOP_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors of the documents, and the vocabulary to weigh others with."""
-    counts = term_counts(with_terms(df, column, ngrams, stop_words), key)
-    terms = vocabulary(counts, df, min_df, max_features)
+    counts = checkpoint(term_counts(with_terms(df, column, ngrams, stop_words), key))
+    terms = vocabulary(counts, counts, min_df, max_features)
     bounded = max_features is not None and max_features <= BROADCAST_TERMS
-    rows = weigh(counts, terms, key, sublinear, keys=df.select(key), bounded=bounded)
+    rows = weigh(counts, terms, key, sublinear, keys=counts.select(key), bounded=bounded)
     return rows, terms
 
 

@@ -44,23 +44,24 @@ def sparse_search(
 ) -> DataFrame:
     """TF-IDF search.  ``queries (query_id, text)``, ``corpus (corpus_id,
     text)``; the vocabulary is fitted on the corpus alone."""
-    counts = features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id")
-    asked_counts = features.term_counts(
-        features.with_terms(queries, "text", ngrams), "query_id"
+    # Every text is split into terms once; the counts serve vocabulary and weights.
+    counts = checkpoint(features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id"))
+    asked_counts = checkpoint(
+        features.term_counts(features.with_terms(queries, "text", ngrams), "query_id")
     )
     asked = features.asked_terms(asked_counts)
     # Corpus terms that no query holds count for the length of a document,
     # but are not carried into the scoring.
     terms = checkpoint(
-        features.vocabulary(counts, corpus)
+        features.vocabulary(counts, counts)
         .select("term", "idf")
         .join(asked.withColumn("asked", F.lit(True)), "term", "left")
     )
-    vectors = features.weigh(
-        counts, terms, "corpus_id", keys=corpus.select("corpus_id"), keep="asked"
+    vectors = checkpoint(
+        features.weigh(counts, terms, "corpus_id", keys=counts.select("corpus_id"), keep="asked")
     )
     wanted = features.weigh(
-        asked_counts, terms.where("asked"), "query_id", keys=queries.select("query_id")
+        asked_counts, terms.where("asked"), "query_id", keys=asked_counts.select("query_id")
     )
     return search.top_k(checkpoint(wanted), vectors, "sparse", k, exclude_self, **options)
 
@@ -89,12 +90,12 @@ INDEX_PARTS = ("corpus", "terms", "vectors")
 
 def save_index(corpus: DataFrame, path: str, ngrams: tuple[int, int] = (1, 2)) -> None:
     """Write corpus, vocabulary and weights, so scoring never refits."""
-    counts = features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id")
+    counts = checkpoint(features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id"))
     spark = corpus.sparkSession
     corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
-    features.vocabulary(counts, corpus).write.mode("overwrite").parquet(os.path.join(path, "terms"))
+    features.vocabulary(counts, counts).write.mode("overwrite").parquet(os.path.join(path, "terms"))
     terms = spark.read.parquet(os.path.join(path, "terms"))
-    vectors = features.weigh(counts, terms, "corpus_id", keys=corpus.select("corpus_id"))
+    vectors = features.weigh(counts, terms, "corpus_id", keys=counts.select("corpus_id"))
     vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
 
 
@@ -111,7 +112,7 @@ def search_index(
 ) -> DataFrame:
     """Search a saved index."""
     asked = features.tfidf_queries(queries, "query_id", "text", index["terms"], ngrams)
-    return search.top_k(asked, index["vectors"], "sparse", k, **options)
+    return search.top_k(checkpoint(asked), index["vectors"], "sparse", k, **options)
 
 
 # --- evaluation --------------------------------------------------------------

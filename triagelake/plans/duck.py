@@ -295,4 +295,7 @@ corpus AS (SELECT *, doc_id AS corpus_id, {first_words('description')} AS text F
            WHERE doc_id IN (SELECT min(doc_id) FROM usable GROUP BY {text_key('description')}))"""
 
 ASKED = "asked AS (SELECT doc_id AS query_id, text FROM documents)"
-DESK_HITS = f"{CORPUS}, {ASKED}, {sparse_hits('hits', 'asked', 'corpus', fixed.TOP_K)}"
+DESK_HITS = (
+    f"{CORPUS}, {ASKED}, "
+    + sparse_hits("hits", "asked", "corpus", fixed.TOP_K, where="q.query_id <> c.corpus_id")
+)
