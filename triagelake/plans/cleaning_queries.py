@@ -338,3 +338,78 @@ def clean_exact_dupes(t):
     before = doubled.agg(F.count("*")).scalar()
     after = distinct.agg(F.count("*")).scalar()
     return distinct.withColumn("removed", before - after)
+
+
+# --- whole passes ------------------------------------------------------------
+
+@query(
+    "clean_events_pass",
+    f"""
+WITH e AS (SELECT event_id, user_id, event_type, date_trunc('minute', ts) AS updated,
+                  date_trunc('minute', CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR
+                                       ELSE ts - INTERVAL 2 HOUR END) AS opened,
+                  CASE WHEN event_type = 'view' THEN date_trunc('minute', ts + INTERVAL 3 HOUR) END AS resolved
+           FROM events WHERE user_id IS NOT NULL),
+h AS (SELECT *, {duck.hours('opened', 'updated')} AS age, {duck.hours('opened', 'resolved')} AS work FROM e)
+SELECT event_id, user_id AS number, CASE event_type WHEN 'error' THEN 'P1' ELSE 'P3' END AS priority_normalized,
+       CASE WHEN event_type <> 'click' THEN 'Active' END AS incident_state,
+       event_type = 'click' AS invalid_incident_state,
+       row_number() OVER (PARTITION BY user_id ORDER BY updated NULLS LAST, event_id) AS event_sequence,
+       count(*) OVER (PARTITION BY user_id) AS incident_event_count,
+       CASE WHEN age >= 0 THEN round(age, 6) END AS event_age_hours,
+       coalesce(age < 0, FALSE) AS invalid_event_chronology,
+       CASE WHEN work >= 0 THEN round(work, 6) END AS resolution_time_hours,
+       coalesce(work < 0, FALSE) AS invalid_resolution_chronology
+FROM h
+""",
+)
+def clean_events_pass(t):
+    """The whole event-log pass over events written out as a raw log, every
+    third opened after it was updated."""
+    late = F.col("event_id") % 3 == 0
+    opened = F.when(late, F.expr("ts + INTERVAL 1 HOUR")).otherwise(F.expr("ts - INTERVAL 2 HOUR"))
+    kind = F.col("event_type")
+    shown = lambda c: F.date_format(c, "d/M/yyyy H:mm")
+    raw = t.events.select(
+        "event_id", F.col("user_id").alias(" Number "), shown(opened).alias("Opened_at"),
+        shown("ts").alias("sys_updated_at"),
+        F.when(kind == "view", shown(F.expr("ts + INTERVAL 3 HOUR"))).otherwise("?").alias("resolved_at"),
+        F.lit(" ? ").alias("closed_at"),
+        F.when(kind == "error", "1 - Critical").otherwise("3 - Moderate ").alias("priority"),
+        F.when(kind == "click", "-100").otherwise("Active").alias("incident_state"),
+    )
+    done = ev.clean_events(raw.unionByName(raw.where("event_id % 10 = 0")), "event_id")
+    return done.select(
+        "event_id", "number", "priority_normalized", "incident_state", "invalid_incident_state",
+        "event_sequence", "incident_event_count",
+        F.round("event_age_hours", 6).alias("event_age_hours"), "invalid_event_chronology",
+        F.round("resolution_time_hours", 6).alias("resolution_time_hours"),
+        "invalid_resolution_chronology",
+    )
+
+
+@query(
+    "clean_tracker_pass",
+    f"""
+WITH d AS (SELECT doc_id, source, {duck.markup(MARKED_UP)} AS clean FROM documents)
+SELECT source || '-' || doc_id AS id, upper(source) AS project_key,
+       CASE WHEN doc_id % 7 - 1 >= 0 THEN CAST(doc_id % 7 - 1 AS DOUBLE) END AS expert_estimated_effort,
+       doc_id % 7 - 1 < 0 AS expert_estimated_effort_was_negative,
+       CAST(NULL AS DOUBLE) AS actual_effort, CAST(coalesce(length(clean), 0) AS BIGINT) AS corpus_char_count,
+       {duck.wc('clean')} AS corpus_word_count, {duck.wc('clean')} = 0 AS empty_corpus
+FROM d
+""",
+)
+def clean_tracker_pass(t):
+    """The whole issue-tracker pass over documents as raw issues, some twice."""
+    raw = t.documents.select(
+        F.concat_ws("-", "source", "doc_id").alias("ID"), marked_up().alias(" Corpus"),
+        (F.col("doc_id") % 7 - 1).cast("string").alias("expert_estimated_effort"),
+        F.lit("N/A").alias("actual_effort"), F.lit(1).alias("num_comment"),
+        F.lit(2).alias("num_activities"),
+    )
+    done = cleaning.clean_tracker(raw.unionByName(raw))
+    return done.select(
+        "id", "project_key", "expert_estimated_effort", "expert_estimated_effort_was_negative",
+        "actual_effort", "corpus_char_count", "corpus_word_count", "empty_corpus",
+    )
