@@ -116,7 +116,7 @@ def test_leaks_do_not_depend_on_blocks(spark, docs):
 def test_shards_hold_every_row_once_and_grow_into_the_new_one(spark, docs, odd, tmp_path):
     for name, df in (("docs", docs), ("odd", odd)):
         shard.write_shards(df, str(tmp_path / name), 7, "doc_id", "text", bucket_bytes=20_000)
-        rows = shard.read_shards(spark, str(tmp_path / name))
+        rows = shard.read_shards(df, str(tmp_path / name))
         kept = [c for c in df.columns if c not in shard.ADDED]
         assert sorted(map(repr, rows.select(kept).collect())) == sorted(map(repr, df.select(kept).collect()))
         slots = collections.defaultdict(list)
@@ -125,22 +125,23 @@ def test_shards_hold_every_row_once_and_grow_into_the_new_one(spark, docs, odd,
             assert r["grown_shard"] in (r["shard"], 7)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     shard.write_shards(docs, str(tmp_path / "more"), 8, "doc_id", "text")
-    more = {r.doc_id: r.shard for r in shard.read_shards(spark, str(tmp_path / "more")).collect()}
+    more = {r.doc_id: r.shard for r in shard.read_shards(docs, str(tmp_path / "more")).collect()}
     shard.write_shards(docs, str(tmp_path / "few"), 7, "doc_id", "text", bucket_bytes=20_000)
-    assert {r.doc_id: r.grown_shard for r in shard.read_shards(spark, str(tmp_path / "few")).collect()} == more
+    assert {r.doc_id: r.grown_shard for r in shard.read_shards(docs, str(tmp_path / "few")).collect()} == more
 
 
 def test_shards_are_shuffled_and_follow_the_seed(spark, docs, tmp_path):
     order = []
     for name, seed in (("a", 1), ("b", 1), ("c", 2)):
         shard.write_shards(docs, str(tmp_path / name), 1, "doc_id", "text", seed=seed)
-        order.append([r.doc_id for r in shard.read_shards(spark, str(tmp_path / name)).orderBy("slot").collect()])
+        order.append([r.doc_id for r in shard.read_shards(docs, str(tmp_path / name)).orderBy("slot").collect()])
     assert order[0] == order[1] != order[2]
     assert order[0] != sorted(order[0])
 
 
 def test_shards_of_an_empty_table(spark, empty, tmp_path):
     shard.write_shards(empty, str(tmp_path / "none"), 3, "doc_id", "text")
+    assert shard.read_shards(empty, str(tmp_path / "none")).count() == 0
 
 
 # op3
@@ -345,7 +346,15 @@ def test_plan_keeps_recall_as_the_table_grows():
         bits, tables = embed_dedup.plan(n)
         shared = (1 - np.arccos(0.9) / np.pi) ** bits
         assert 1 - (1 - shared) ** tables >= 0.99
-        assert n / 2**bits <= 24
+        assert n / 2**bits <= embed_dedup.CELL
+
+
+def test_windows_of_sorted_lines_are_those_of_plain_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, o = rng.standard_normal((30, 5)), rng.standard_normal((80, 5))
+    plain = embed_dedup.counted(q, o, 0.5)
+    monkeypatch.setattr(embed_dedup, "SORTED", 1)
+    assert (embed_dedup.counted(q, o, 0.5) == plain).all() and plain.max() > 1
 
 
 # op9

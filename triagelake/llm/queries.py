@@ -27,7 +27,7 @@ def op2_sharding(spark, folder):
     path = new_dir(spark, "shards")
     documents = table(spark, folder, "documents").select("doc_id", "text")
     shard.write_shards(documents, path, SHARDS, "doc_id", "text")
-    return shard.read_shards(spark, path).select(
+    return shard.read_shards(documents, path).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + shard.ROW_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.llm.names import fresh
 from triagelake.session import checkpoint
@@ -71,9 +72,17 @@ def write_shards(
     ).write.partitionBy("shard").parquet(path)
 
 
-def read_shards(spark, path: str) -> DataFrame:
-    """The written records with ``slot``, gapless from 0 in every shard."""
-    rows = spark.read.parquet(path)
+def written_schema(df: DataFrame) -> T.StructType:
+    """Schema of what ``write_shards`` writes for ``df``."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in ADDED])
+    for name in ("grown_shard", "bucket", "place", "shard"):
+        schema = schema.add(name, T.IntegerType())
+    return schema
+
+
+def read_shards(df: DataFrame, path: str) -> DataFrame:
+    """The records of ``df`` as written, with ``slot``, gapless from 0 in every shard."""
+    rows = df.sparkSession.read.schema(written_schema(df)).parquet(path)
     counts = rows.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
