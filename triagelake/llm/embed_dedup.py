@@ -39,7 +39,8 @@ from triagelake.session import checkpoint
 COSINE = 0.9
 LINES = 48
 MISS = 0.01
-CELL = 24  # vectors that a cell is meant to hold
+CELL = 64  # vectors that a cell is meant to hold
+SORTED = 512  # from so many, sorting a tile's lines pays
 TILE = 2048
 SEED = 11
 FOUND = "a long, b long, links long"
@@ -72,7 +73,7 @@ def window(cosine: float = COSINE, miss: float = MISS) -> tuple[float, int]:
         least += 1
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors) -> np.ndarray:
     v = np.array(vectors, np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
@@ -101,6 +102,23 @@ def cells(bits: int, tables: int):
     return run
 
 
+def counted(queries: np.ndarray, others: np.ndarray, width: float) -> np.ndarray:
+    """On how many lines each query's window holds each of the others."""
+    count = np.zeros((len(queries), len(others)), np.uint8)
+    for q, o in zip(queries.T, others.T):
+        if len(others) < SORTED:
+            count += (o >= (q - width)[:, None]) & (o <= (q + width)[:, None])
+            continue
+        order = np.argsort(o, kind="stable")
+        ranked = o[order]
+        # A window is a run of the sorted line: mark its ends and add up.
+        mark = np.zeros((len(q), len(o) + 1), np.int8)
+        mark[np.arange(len(q)), np.searchsorted(ranked, q - width)] += 1
+        mark[np.arange(len(q)), np.searchsorted(ranked, q + width, side="right")] -= 1
+        count[:, order] += np.cumsum(mark[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
+    return count
+
+
 def collisions(cosine: float):
     """Links of the tiles in batches sorted by ``tile``: a row for each vector
     with the number of its links, and links that span each tile's groups."""
@@ -116,19 +134,7 @@ def collisions(cosine: float):
         for i in range(0, len(first), 256):
             q = first[i : i + 256]
             c = np.flatnonzero(side == side.max()) if two else np.arange(int(q[0]), len(ids))
-            count = np.zeros((len(q), len(c)), np.uint8)
-            for line in lines.T:
-                order = np.argsort(line[c], kind="stable")
-                ranked = line[c][order]
-                low = np.searchsorted(ranked, line[q] - width)
-                high = np.searchsorted(ranked, line[q] + width, side="right")
-                # A window is a run of the sorted line: mark its ends and add up.
-                mark = np.zeros((len(q), len(c) + 1), np.int8)
-                mark[np.arange(len(q)), low] += 1
-                mark[np.arange(len(q)), high] -= 1
-                held = np.cumsum(mark[:, :-1], axis=1, dtype=np.int8)
-                count[:, order] += held.view(np.uint8)
-            x, y = np.nonzero(count >= least)
+            x, y = np.nonzero(counted(lines[q], lines[c], width) >= least)
             x, y = q[x], c[y]
             keep = (x < y) if not two else np.ones(len(x), bool)
             x, y = x[keep], y[keep]
@@ -139,6 +145,7 @@ def collisions(cosine: float):
             yield x[near], y[near]
 
     def run(batches):
+        flat = lambda lists, rows: np.asarray(lists.flatten()).reshape(rows, -1)
         for table in sorted_groups(batches, "tile"):
             cut = bounds(table.column("tile").to_numpy())
             columns = {c: table.column(c).combine_chunks() for c in ("id", "copies", "side", "own", "vector", "cells")}
@@ -146,8 +153,8 @@ def collisions(cosine: float):
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 part = {c: v.slice(s, e - s) for c, v in columns.items()}
                 ids, copies, side, own = (part[c].to_numpy(zero_copy_only=False) for c in ("id", "copies", "side", "own"))
-                vectors = unit(part["vector"].to_pylist())
-                cell = np.array(part["cells"].to_pylist())
+                vectors = unit(flat(part["vector"], len(ids)))
+                cell = flat(part["cells"], len(ids))
                 links = np.zeros(len(ids), np.int64)
                 up = np.arange(len(ids))
                 for x, y in pairs(ids, vectors, side, cell, int(own[0])):
