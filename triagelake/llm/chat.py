@@ -6,8 +6,8 @@ rolling hash of the turns up to it (128 bits); anti-joins of whole-conversation
 hashes against hashes of proper beginnings keep the maximal conversations,
 which alone have their texts moved and rendered.
 
-Defined results: turns are ordered by number, then by role and text, NULLs
-first; NULL role or text equals the empty string; rows with NULL conversation
+Defined results: turns are ordered by number, then by role and text (for the
+hashes: a hash of the text), NULLs first; NULL role or text equals the empty string; rows with NULL conversation
 id form one conversation; a repeated row is a turn of its own; an empty table
 gives no rows; other columns are ignored.
 """
