@@ -14,6 +14,7 @@ like the added ones are replaced by them.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -33,37 +34,89 @@ PIECES_PER_TASK = 100_000
 CACHE = 300_000
 # Of the white space that the tokenizer drops, what no other rule can see.
 GAP = re.compile("[ \t\n\r]+")
+# Other white space, which str.split() would cut at too.
+OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Words of these characters are the same in every normal form, and are lower-cased one by one.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Fixed value: the tokenizer's own pattern, for lower-cased plain words.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Encoder:
     """Token ids of texts; words are encoded once and remembered.
 
     The tokenizer never looks across white space, so a text's ids are those
-    of its words in turn.  Strings of special tokens are ordinary text.
+    of its words in turn.  Plain words are cut into the tokenizer's parts
+    here, and many parts are encoded as one text by the same merges; only a
+    part's last token has the suffix of word ends, which tells the parts
+    apart again.  Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [[w for w in GAP.split(t) if w] for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-            fresh = list({w for words in split for w in words})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        split = [[w for w in GAP.split(t) if w] if OTHER_SPACE.search(t) else t.split() for t in texts]
+        known = self.known
+        fresh = {w for words in split for w in words if w not in known}
+        if len(known) + len(fresh) > CACHE:
+            # What was known is asked once more before it is forgotten.
+            self.before, self.known = known, {}
+            self.parts.clear()
+            known = self.known
+            fresh = {w for words in split for w in words}
+        before = self.before
+        known.update((w, before[w]) for w in fresh if w in before)
+        self.learn([w for w in fresh if w not in known])
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def learn(self, words: list[str]) -> None:
+        known, parts, plain = self.known, self.parts, PLAIN.fullmatch
+        simple, cut, other = [], [], []
+        for w in words:
+            if not plain(w):
+                other.append(w)
+            elif w.isalpha():
+                simple.append((w, w.lower()))
+            else:
+                cut.append((w, PARTS.findall(w.lower())))
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = {p for _, p in simple if p not in parts}
+        fresh.update(p for _, ps in cut for p in ps if p not in parts)
+        fresh = list(fresh)
+        for i in range(0, len(fresh), 4096):
+            some = fresh[i : i + 4096]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            body = ids.tobytes()
+            at = 0
+            for p, end in zip(some, (4 * ends).tolist(), strict=True):
+                parts[p] = body[at:end]
+                at = end
+        for w, p in simple:
+            known[w] = parts[p]
+        for w, ps in cut:
+            known[w] = b"".join([parts[p] for p in ps])
+
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENGTH) -> DataFrame:
     """The other columns of ``df``, and ``piece, start, length, ids`` of each piece."""
@@ -77,6 +130,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
 
     def run(batches):
         encoder = Encoder(tokenizer)
+        gc.disable()  # nothing here refers to itself, and millions of words are held
         for batch in record_batches(batches, 8 << 20):
             row, piece, ids = [], [], []
             texts = [t or "" for t in batch.column(body).to_pylist()]
