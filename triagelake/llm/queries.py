@@ -114,6 +114,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        members AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS m
+            FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM members a JOIN members b USING (m)
+            WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * common >= 80 * (p.n + q.n - common)),
+        reached AS (SELECT doc_id AS x, doc_id AS y FROM documents
+                    UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id)
+        JOIN (SELECT x, min(y) AS component_id FROM reached GROUP BY x) c ON c.x = d.doc_id""",
     "op3_url_filters": r"""
         WITH split AS (
             SELECT page_id,
