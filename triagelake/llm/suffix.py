@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import BYTE, bounds, mix, powers, record_batches, sorted_groups, utf8
+from triagelake.llm.arrow import BYTE, bounds, mix, powers, record_batches, sorted_groups, tidy, utf8
 from triagelake.session import checkpoint
 
 LENGTH = 100
 GRAM = 20
 SLICE = 1 << 19
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 ANCHORS = "anchor long, content long, doc long, text_hash long, start long, windows long, found boolean"
 FOUND = "doc long, text_hash long, start long, end long, anchor long"
 NEVER = np.uint64(2**64 - 1)
@@ -424,21 +424,21 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
     source = df.select(
         F.coalesce(F.col(key).cast("long"), least).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"),
     )
-    dealt = source.mapInArrow(anchors, ANCHORS).repartition("anchor").sortWithinPartitions("anchor")
-    found = checkpoint(dealt.mapInArrow(compare_snippets, FOUND))
+    dealt = source.mapInArrow(tidy(anchors), ANCHORS).repartition("anchor").sortWithinPartitions("anchor")
+    found = checkpoint(dealt.mapInArrow(tidy(compare_snippets), FOUND))
     open_ = found.where("anchor is not null")
     total = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     wanted = F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "start", "end")
     wanted = open_.groupBy("doc", "text_hash").agg(F.collect_list(wanted).alias("wanted"))
-    texts = source.mapInArrow(packed, "doc long, text_hash long, n_bytes long, body binary")
+    texts = source.mapInArrow(tidy(packed), "doc long, text_hash long, n_bytes long, body binary")
     once = texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
-    bodies = once.mapInArrow(extract, "shard long, doc long, text_hash long, start long, bytes binary")
-    windows = bodies.repartition("shard").sortWithinPartitions("shard").mapInArrow(compare_windows, FOUND)
+    bodies = once.mapInArrow(tidy(extract), "shard long, doc long, text_hash long, start long, bytes binary")
+    windows = bodies.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(compare_windows), FOUND)
     ranges = found.where("anchor is null").union(windows).groupBy("doc", "text_hash").agg(
         F.collect_list(F.struct("start", "end")).alias("ranges")
     )
     done = texts.join(ranges, ["doc", "text_hash"], "left").mapInArrow(
-        cut_out, "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+        tidy(cut_out), "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     )
     return done.withColumn("doc", F.when(F.col("doc") != least, F.col("doc"))).withColumnRenamed("doc", key)
