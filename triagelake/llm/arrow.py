@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +14,33 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
+def tidy(run):
+    """``run`` over a task's batches, with its memory given back at the end.
+
+    Workers go on to other tasks, and what the allocators keep adds up to
+    more than a small executor has.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; NULL is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -45,9 +69,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of an odd base modulo 2^64, and their inverses."""
     size = 1 << max(16, (n - 1).bit_length())

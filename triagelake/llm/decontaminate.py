@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.llm.arrow import bounds as bounds_of
-from triagelake.llm.arrow import record_batches
+from triagelake.llm.arrow import record_batches, tidy
 
 Q = 8
 WINDOW, STRIDE = 100, 50
@@ -209,7 +209,7 @@ def leaks(
                 rest = [pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5)]
                 yield pa.record_batch([ids, *rest], names=schema.names)
 
-        found = source.mapInArrow(run, schema)
+        found = source.mapInArrow(tidy(run), schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -228,7 +228,7 @@ def without_leaks(
                 keep[[r[0] for r in rows]] = False
                 yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(tidy(run), documents.schema)
     return documents
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import bounds, sorted_groups
+from triagelake.llm.arrow import bounds, sorted_groups, tidy
 from triagelake.llm.graph import EDGES, components
 from triagelake.llm.ngram_join import blocked
 from triagelake.session import checkpoint
@@ -190,7 +190,7 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine:
     )
     bits, tables = plan(classes.count(), cosine)
     schema = "cls long, vector array<double>, id long, copies long, cells array<long>"
-    placed = checkpoint(classes.mapInArrow(cells(bits, tables), schema))
+    placed = checkpoint(classes.mapInArrow(tidy(cells(bits, tables)), schema))
     each = placed.select("id", "copies", "vector", "cells", F.posexplode("cells").alias("own", "cell"))
     each = each.withColumn("size", F.size("vector"))
     large = each.groupBy("own", "cell", "size").count().where(F.col("count") > TILE)
@@ -198,7 +198,7 @@ def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine:
     tiles = blocked(each, ["own", "cell", "size"], "count", F.lit(TILE), "id")
     tiles = tiles.select("tile", "side", "own", "id", "copies", "vector", "cells")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile")
-    found = checkpoint(tiles.mapInArrow(collisions(cosine), FOUND))
+    found = checkpoint(tiles.mapInArrow(tidy(collisions(cosine)), FOUND))
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     groups = components(found.select("a", "b"))
     known = classes.join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left").select(

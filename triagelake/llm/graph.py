@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.arrow import tidy
 from triagelake.session import checkpoint
 
 EDGES = "a long, b long"
@@ -63,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
     run until nothing changes; joins on hot nodes are split by the engine.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
-    stars = checkpoint(links.mapInArrow(contract, EDGES).distinct())
+    stars = checkpoint(links.mapInArrow(tidy(contract), EDGES).distinct())
     while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import bounds, mix, pieces, record_batches, sorted_groups, utf8, words
+from triagelake.llm.arrow import bounds, mix, pieces, record_batches, sorted_groups, tidy, utf8, words
 from triagelake.llm.graph import EDGES, Forest, components
 from triagelake.session import checkpoint
 
@@ -214,13 +214,13 @@ def blocked(df: DataFrame, group: list[str], count: str, most, order) -> DataFra
 
 def streamed(df: DataFrame, run, schema: str) -> DataFrame:
     """``run`` over partitions that hold whole tiles, sorted by tile."""
-    return df.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+    return df.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(run), schema)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """``key, n_shingles, component_id`` for every row."""
     source = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    sketches = checkpoint(source.mapInArrow(sketch, SKETCH))
+    sketches = checkpoint(source.mapInArrow(tidy(sketch), SKETCH))
     classes = checkpoint(
         sketches.where("n > 0").groupBy("cls", "n").agg(
             F.min("id").alias("id"), F.first("bytes").alias("bytes"),

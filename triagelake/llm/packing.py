@@ -17,6 +17,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.llm.arrow import record_batches
+from triagelake.llm.arrow import record_batches, tidy
 from triagelake.llm.names import fresh
 
 LENGTH, END_ID = 2048, 0
 OPEN = 1 << 16
 PIECES_PER_TASK = 100_000
+# Words a task remembers, twice; each takes about 200 bytes.
 CACHE = 300_000
 # Of the white space that the tokenizer drops, what no other rule can see.
 GAP = re.compile("[ \t\n\r]+")
@@ -52,7 +54,8 @@ class Encoder:
     apart again.  Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -72,19 +75,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [[w for w in GAP.split(t) if w] if OTHER_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
-        fresh = {w for words in split for w in words if w not in known}
-        if len(known) + len(fresh) > CACHE:
-            # What was known is asked once more before it is forgotten.
-            self.before, self.known = known, {}
-            self.parts.clear()
-            known = self.known
-            fresh = {w for words in split for w in words}
-        before = self.before
-        known.update((w, before[w]) for w in fresh if w in before)
-        self.learn([w for w in fresh if w not in known])
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        flat = list(chain.from_iterable(split))
+        ids = list(map(self.known.get, flat))
+        gaps = [i for i, b in enumerate(ids) if b is None]
+        if gaps:
+            fresh = {flat[i] for i in gaps}
+            if len(self.known) + len(fresh) > self.cache:
+                # What was known is asked once more before it is forgotten.
+                self.before, self.known = self.known, {}
+                self.parts.clear()
+            known, before = self.known, self.before
+            known.update((w, before[w]) for w in fresh if w in before)
+            self.learn([w for w in fresh if w not in known])
+            for i in gaps:
+                ids[i] = known[flat[i]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def learn(self, words: list[str]) -> None:
         known, parts, plain = self.known, self.parts, PLAIN.fullmatch
@@ -118,7 +124,9 @@ class Encoder:
             known[w] = b"".join([parts[p] for p in ps])
 
 
-def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENGTH) -> DataFrame:
+def pieces(
+    df: DataFrame, tokenizer: str, text: str = "text", length: int = LENGTH, cache: int = CACHE
+) -> DataFrame:
     """The other columns of ``df``, and ``piece, start, length, ids`` of each piece."""
     added = ["piece", "start", "length", "ids"]
     keep = [c for c in df.columns if c not in [*added, text]]
@@ -129,9 +137,15 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        gc.disable()  # nothing here refers to itself, and millions of words are held
-        for batch in record_batches(batches, 8 << 20):
+        encoder = Encoder(tokenizer, cache)
+        gc.disable()  # millions of words are held, and nothing here refers to itself
+        try:
+            yield from cut(batches, encoder)
+        finally:
+            gc.enable()
+
+    def cut(batches, encoder):
+        for batch in record_batches(batches, 1 << 20):
             row, piece, ids = [], [], []
             texts = [t or "" for t in batch.column(body).to_pylist()]
             for r, b in enumerate(encoder.encode(texts)):
@@ -146,7 +160,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", length: int = LENG
             columns = [*taken.columns, pa.array(piece, pa.int32()), start, size, pa.array(ids, pa.binary())]
             yield pa.record_batch(columns, names=[*keep, *added])
 
-    return df.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(body)).mapInArrow(tidy(run), schema)
 
 
 class Bins:
@@ -200,7 +214,7 @@ def pack(rows: DataFrame, keys: list[str], length: int = LENGTH, limit: int = OP
             yield pa.record_batch([*batch.columns, sequence, offset], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = rows.repartition(tasks, *keys).sortWithinPartitions(F.desc("length"), *keys)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

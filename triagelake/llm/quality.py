@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.llm.arrow import BYTE, mix, pieces, range_hashes, record_batches, utf8, words
+from triagelake.llm.arrow import BYTE, mix, pieces, range_hashes, record_batches, tidy, utf8, words
 from triagelake.llm.names import fresh
 from triagelake.session import checkpoint
 
@@ -128,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     part = F.pmod(F.xxhash64(F.lit(4), key), F.lit(tasks))
     parts = rows.select(F.col(text).alias("text"), "target", part.alias("part"))
     parts = parts.repartitionById(tasks, F.col("part").cast("int")).sortWithinPartitions("text", "target")
-    found = parts.drop("part").mapInArrow(fit_part, "index long, weight double")
+    found = parts.drop("part").mapInArrow(tidy(fit_part), "index long, weight double")
     mean = found.groupBy("index").agg((F.sum("weight") / tasks).alias("weight")).collect()
     weights = np.zeros((1 << BITS) + 1)
     for r in mean:
@@ -153,7 +153,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", keep=()) -> Da
             yield pa.record_batch([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*keep, "score"])
 
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return df.select(*keep, F.col(text).alias(body)).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias(body)).mapInArrow(tidy(run), schema)
 
 
 def held_out(key: str = "doc_id"):
