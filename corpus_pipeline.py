@@ -49,7 +49,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece in a training sequence."""
-    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    # Executors have been through four stages, so words take less of their memory.
+    cut = packing.pieces(
+        docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), cache=100_000
+    )
     light = checkpoint(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.pack(light, ["doc_id", "piece"])
 
