@@ -96,6 +96,50 @@ def test_leaks_are_those_of_a_full_alignment(spark):
     assert got == want and len(want) > 20
 
 
+def places(items, texts):
+    """Places that an index finds, without Spark."""
+    index = decontaminate.Index(items)
+    for r, t in enumerate(texts):
+        c = decontaminate.codes(t, index.table)
+        for _, *rest in decontaminate.merged(index.search(c, np.array([0]))):
+            yield (r, *rest)
+
+
+def test_quotes_are_found_at_every_offset():
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+    for size in (90, 300):
+        item, least = "q" + some(size - 2) + "q", decontaminate.LONGEST_MISS + 1
+        for n in (least, 80):
+            texts = [f"{some(30)}{item[at : at + n]}{some(30)}" for at in range(size - n + 1)]
+            got = {r: (s, e) for r, _, s, e, *_ in places([(1, item)], texts)}
+            assert sorted(got) == list(range(len(texts)))
+            # All of the quote but less than a stride at its ends, and no more than a few edits beyond.
+            assert all(s <= 30 + decontaminate.STRIDE + 8 and e >= 30 + n - decontaminate.STRIDE - 8 for s, e in got.values())
+
+
+def test_swapped_words_are_those_of_a_full_alignment():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 8)))
+    item = " ".join(word() for _ in range(45))
+    windows = [(item[s : s + n], k) for s, n, k in decontaminate.windows_of(len(item))]
+    texts = []
+    for i in range(40):
+        words = item.split()[i % 25 : i % 25 + rng.randrange(8, 20)]
+        for _ in range(i % 5):
+            words[rng.randrange(len(words))] = word()
+        texts.append(" ".join([word(), *words, word()]))
+    want = {r for r, t in enumerate(texts) if any(distance(p, t) <= k for p, k in windows)}
+    assert {r for r, *_ in places([(1, item)], texts)} == want and 10 < len(want) < 40
+
+
+def test_short_items_are_found_whole():
+    items = [(1, "abc"), (2, "Paris, France"), (3, "x"), (4, " "), (5, "the answer is twelve"), (6, "abcdefgh")]
+    texts = ["In PARIS,\nfrance", "abx", "zabcabcdefgh", "paris france", "so the answer is twelve.", "ab"]
+    got = {(r, i, s, e) for r, i, s, e, *_ in places(items, texts)}
+    assert got == {(0, 2, 3, 16), (1, 3, 2, 3), (2, 1, 1, 7), (2, 6, 4, 12), (4, 5, 3, 23)}
+
+
 def test_leaks_of_odd_rows(spark, odd, empty, docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 120), (3, "x" * 120)], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.leaks(odd, bench).collect()}
