@@ -282,6 +282,20 @@ def test_words_encode_as_whole_texts_do(tokenizer):
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_have_the_ids_of_the_unchanged_tokenizer(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    texts = [
+        "a <|endoftext|> b", "<|startoftext|>x<|endoftext|><|endoftext|>'s", "A<|ENDOFTEXT|>b <|endoftext|", "é\u0301<|endoftext|>ΑΣ",
+        "\u00a0<|endoftext|>\u00a0 x", "plain don't", "",
+    ]
+    plain = Tokenizer.from_file(tokenizer)
+    cut = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer)
+    got = [np.frombuffer(r.ids, "<u4").tolist() for r in cut.orderBy("doc_id").collect()]
+    assert got == [e.ids + [packing.END_ID] for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert got[0] == [320, 49407, 321, packing.END_ID]
+
+
 def test_packing_is_gapless_and_whole(spark, docs, odd, empty, tokenizer):
     for df in (docs, odd):
         cut = packing.pieces(df, tokenizer)

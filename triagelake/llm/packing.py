@@ -51,16 +51,18 @@ class Encoder:
     of its words in turn.  Plain words are cut into the tokenizer's parts
     here, and many parts are encoded as one text by the same merges; only a
     part's last token has the suffix of word ends, which tells the parts
-    apart again.  Strings of special tokens are ordinary text.
+    apart again.  With ``special``, words that hold a special token's string are
+    left to the tokenizer, which gives that token's id; else they are ordinary text.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, special: bool = False):
         self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -86,17 +88,19 @@ class Encoder:
                 self.parts.clear()
             known, before = self.known, self.before
             known.update((w, before[w]) for w in fresh if w in before)
-            self.learn([w for w in fresh if w not in known])
+            # Texts are asked before words, as hardly any has a special token.
+            special = [s for s in self.special if any(s in t for t in texts)]
+            self.learn([w for w in fresh if w not in known], special)
             for i in gaps:
                 ids[i] = known[flat[i]]
         ends = list(accumulate(map(len, split)))
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], special: list[str]) -> None:
         known, parts, plain = self.known, self.parts, PLAIN.fullmatch
         simple, cut, other = [], [], []
         for w in words:
-            if not plain(w):
+            if not plain(w) or special and any(s in w for s in special):
                 other.append(w)
             elif w.isalpha():
                 simple.append((w, w.lower()))
@@ -137,7 +141,7 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer, cache)
+        encoder = Encoder(tokenizer, cache, special=True)
         gc.disable()  # millions of words are held, and nothing here refers to itself
         try:
             yield from cut(batches, encoder)
