@@ -85,6 +85,28 @@ def test_dedup_is_brute_force(spark):
     assert run(df, shard_bytes=300) == want
 
 
+def test_ends_of_a_common_passage_stay_out_of_suffix_arrays(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, others = some(260), [some(150) for _ in range(3)]
+    rows = [(i, some(120) + passage + some(120) + (others[i % 3] if i % 9 == 0 else "")) for i in range(120)]
+    log, whole = tmp_path / "sizes", suffix.repeated
+
+    def logged(bodies, *rest):
+        with open(log, "a") as f:
+            f.write(f"{sum(map(len, bodies))}\n")
+        return whole(bodies, *rest)
+
+    compare = suffix.compare_windows.__globals__
+    monkeypatch.setitem(compare, "repeated", logged)
+    for common in (10, 10_000):
+        monkeypatch.setattr(suffix, "COMMON", common)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert run(df, shard_bytes=3000) == sorted(brute(rows))
+    # The bound is on single anchors; a shard may still hold a few of them.
+    assert not log.exists() or max(map(int, log.read_text().split())) < 12_000
+
+
 def test_long_texts_are_sliced_whole(spark, monkeypatch):
     monkeypatch.setattr(suffix, "SLICE", 1 << 10)
     rng = random.Random(9)

@@ -13,7 +13,9 @@ differs, mostly the ends of repeated passages, goes to shards by anchor; each
 shard's bytes get a suffix array (classify suffixes, sort the leftmost-smaller
 substrings and, by their names, the reduced string, then induce) and permuted
 common prefixes, and windows that are neighbours in the array with a common
-prefix of ``LENGTH`` are equal.
+prefix of ``LENGTH`` are equal.  Anchors with more bytes than a shard, as those
+at the ends of a very common passage, are not sorted: their windows are filed
+under hashes of 128 bits of their own.
 
 Defined results: NULL text is empty; rows of NULL id come first; texts of one
 id are ordered by a hash of the text; rows equal in id and text count as one
@@ -35,6 +37,8 @@ LENGTH = 100
 GRAM = 20
 SLICE = 1 << 19
 SHARD_BYTES = 1 << 20
+# Windows that occur more often are joined by broadcast; there are few of them.
+COMMON = 10_000
 ANCHORS = "anchor long, content long, doc long, text_hash long, start long, windows long, found boolean"
 FOUND = "doc long, text_hash long, start long, end long, anchor long"
 NEVER = np.uint64(2**64 - 1)
@@ -418,6 +422,22 @@ def cut_out(batches):
         )
 
 
+def repeated_windows(bodies: DataFrame, common: int) -> DataFrame:
+    """Places of the windows of snippets that start earlier too, by hashes of the windows."""
+    at = F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("_at")
+    place = F.struct("doc", "text_hash", (F.col("start") + F.col("_at")).alias("start"))
+    window = F.substr("bytes", F.col("_at") + 1, F.lit(LENGTH))
+    windows = bodies.select("*", at).select(F.unhex(F.md5(window)).alias("window"), place.alias("place"))
+    firsts = checkpoint(windows.groupBy("window").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    often = F.broadcast(firsts.where(F.col("n") > common))
+    found = windows.join(often, "window").union(
+        windows.join(often, "window", "left_anti").join(firsts.where(F.col("n") <= common), "window")
+    )
+    return found.where("place != first").select(
+        "place.doc", "place.text_hash", "place.start", (F.col("place.start") + LENGTH).alias("end"), F.lit(None).cast("long").alias("anchor")
+    )
+
+
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``key, n_bytes, n_removed, spans, kept``: removed runs and remaining bytes of every row."""
     least = F.lit(-(2**63))
@@ -429,11 +449,22 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
     open_ = found.where("anchor is not null")
     total = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    wanted = F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "start", "end")
+    sizes = open_.groupBy("anchor").agg(F.sum(F.col("end") - F.col("start")).alias("_size"))
+    large = checkpoint(sizes.where(F.col("_size") > shard_bytes))  # one a shard at most
+    some_large = not large.isEmpty()
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    if some_large:
+        open_ = open_.join(F.broadcast(large), "anchor", "left")
+        shard = F.when(F.col("_size").isNull(), shard).otherwise(-1)
+    wanted = F.struct(shard.cast("long").alias("shard"), "start", "end")
     wanted = open_.groupBy("doc", "text_hash").agg(F.collect_list(wanted).alias("wanted"))
     texts = source.mapInArrow(tidy(packed), "doc long, text_hash long, n_bytes long, body binary")
     once = texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"])
     bodies = once.mapInArrow(tidy(extract), "shard long, doc long, text_hash long, start long, bytes binary")
+    if some_large:
+        bodies = checkpoint(bodies)
+        found = found.where("anchor is null").unionByName(repeated_windows(bodies.where("shard = -1"), COMMON))
+        bodies = bodies.where("shard >= 0")
     windows = bodies.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(compare_windows), FOUND)
     ranges = found.where("anchor is null").union(windows).groupBy("doc", "text_hash").agg(
         F.collect_list(F.struct("start", "end")).alias("ranges")
