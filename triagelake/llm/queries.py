@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, secrets, shard, suffix, urls
+from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, runs, secrets, shard, suffix, urls
+from triagelake.operators.rows import settle
 from triagelake.session import checkpoint, new_dir
 
 SHARDS = 40
@@ -100,6 +101,33 @@ def op10_quality(spark, folder):
     )
 
 
+def repeating(documents: DataFrame) -> DataFrame:
+    """``doc_id, text``; every tenth text, by crc32 of its id, gets a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    df = settle(documents.select("doc_id", "text"), g=F.floor(h / 10), w=F.when(h % 10 == 0, words))
+    n = F.size("w")
+    df = settle(df, a=F.when(n > 0, F.col("g") % n))
+    df = settle(df, p=1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i)
+    told = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", place(i).cast("int")))
+    return df.select("doc_id", F.when(n > 0, F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark, folder):
+    """Counts and digests of the periodic runs of every document."""
+    found = runs.detect(repeating(table(spark, folder, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    by_length = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"], r.alias("run")))
+    best = F.array_max(by_length)["run"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -111,6 +139,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,
+    "op13_period_runs": op13_period_runs,
 }
 
 ORACLES = {
@@ -175,4 +204,44 @@ ORACLES = {
         wholes AS (SELECT chat, n, min(conv_id) AS conv_id FROM begun WHERE n = last GROUP BY chat, n)
         SELECT conv_id, CAST(n AS BIGINT) AS n_turns, chat FROM wholes w
         WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.n < b.last AND b.n = w.n AND b.chat = w.chat)""",
+    "op13_period_runs": r"""
+        WITH bits AS (
+            SELECT list(c ORDER BY b) AS crcs FROM (
+                SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, _:
+                    xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) t(b))),
+        hashed AS (
+            SELECT doc_id, coalesce(text, '') AS text, xor(list_reduce(
+                list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])), 4294967295) AS h
+            FROM documents, bits),
+        split AS (
+            SELECT doc_id, h, h // 10 AS g,
+                list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM hashed),
+        placed AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM split),
+        stepped AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        texts AS (
+            SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+                w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w
+            FROM stepped),
+        words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+        same AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+            FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND y.i - x.i <= x.n // 2),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e FROM same GROUP BY doc_id, q, island
+            HAVING max(i) + 1 + q - min(i) >= greatest(12, 2 * q)),
+        runs AS (SELECT doc_id, s, e, min(q) AS q FROM stretches GROUP BY doc_id, s, e),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS told,
+                arg_max({'s': s, 'l': e - s, 'q': q}, {'l': e - s, 's': -s, 'q': -q}) AS best
+            FROM runs GROUP BY doc_id),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM runs),
+        kept AS (
+            SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS body
+            FROM words w ANTI JOIN dropped d ON d.doc_id = w.doc_id AND d.i = w.i GROUP BY w.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period,
+            1000 * best.l // best.q AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256,
+            sha256(coalesce(body, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
