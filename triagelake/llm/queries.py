@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import chat, decontaminate, embed_dedup, ngram_join, packing, quality, runs, secrets, shard, suffix, urls
+from triagelake.llm import centroids, chat, decontaminate, embed_dedup, ngram_join, packing, quality, runs, secrets, shard, suffix, urls, warc
 from triagelake.operators.rows import settle
 from triagelake.session import checkpoint, new_dir
 
@@ -101,6 +101,32 @@ def op10_quality(spark, folder):
     )
 
 
+def op11_centroid_clusters(spark, folder):
+    """Cluster, distance and inertia of every vector after ten rounds with eight centroids."""
+    found = centroids.fit(table(spark, folder, "embeddings"), 8, 10, seed=3, key="vec_id", vector="embedding")
+    sums = found.members.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("x"))
+    by_cluster = {r.cluster: int(r.x) for r in sums.collect()}  # one row per centroid
+    long = lambda x: F.lit(str(x)).try_cast("long")
+    each = lambda values: F.element_at(F.array(*values), F.col("cluster") + 1) if values else F.lit(None)
+    return found.members.select(
+        F.col("id").alias("vec_id"), "cluster", "distance",
+        each([long(by_cluster.get(c, 0)) for c in range(len(found.centroids))]).cast("long").alias("cluster_inertia"),
+        long(sum(by_cluster.values())).alias("inertia"),
+        each([F.lit(d) for d in found.digests()]).cast("string").alias("centroid_sha256"),
+    )
+
+
+def op12_warc(spark, folder):
+    """Every page's record, read back from the archives written."""
+    path = new_dir(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path, key="page_id", url="url", payload="html")
+    number = lambda c: F.regexp_extract(c, r":(-?[0-9]+)$", 1).try_cast("long")
+    return warc.records(spark, path).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def repeating(documents: DataFrame) -> DataFrame:
     """``doc_id, text``; every tenth text, by crc32 of its id, gets a periodic end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -139,9 +165,41 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_warc": op12_warc,
     "op13_period_runs": op13_period_runs,
 }
 
+
+def lloyd_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """The clustering of ``op11_centroid_clusters``, round by round."""
+    nearest = lambda n: f"""
+        a{n} AS MATERIALIZED (
+            SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+                SELECT vec_id, v, c.c, list_sum(list_transform(range(1, {size + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS d
+                FROM kept, c{n} c) GROUP BY vec_id)"""
+    moved = lambda n: f"""
+        c{n + 1} AS MATERIALIZED (
+            SELECT c.c, coalesce(m.m, c.m) AS m FROM c{n} c LEFT JOIN (
+                SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS m FROM (
+                    SELECT c, i, sum(x) AS s, count(*) AS n
+                    FROM (SELECT c, unnest(v) AS x, unnest(range({size})) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) m
+            ON m.c = c.c)"""
+    steps = ",".join(nearest(n) + "," + moved(n) for n in range(rounds)) + "," + nearest(rounds)
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {size}
+                AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m
+            FROM kept ORDER BY sha256('3:' || vec_id) LIMIT {k}),{steps}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+            CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLES = {
     "op4_ngram_join": r"""
         WITH RECURSIVE words AS (
@@ -204,6 +262,16 @@ ORACLES = {
         wholes AS (SELECT chat, n, min(conv_id) AS conv_id FROM begun WHERE n = last GROUP BY chat, n)
         SELECT conv_id, CAST(n AS BIGINT) AS n_turns, chat FROM wholes w
         WHERE NOT EXISTS (SELECT 1 FROM begun b WHERE b.n < b.last AND b.n = w.n AND b.chat = w.chat)""",
+    "op11_centroid_clusters": lloyd_sql(),
+    "op12_warc": """
+        WITH sized AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        firsts AS (
+            SELECT *, min(page_id) OVER (PARTITION BY digest) AS f FROM sized)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n < 100 OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
+        FROM firsts""",
     "op13_period_runs": r"""
         WITH bits AS (
             SELECT list(c ORDER BY b) AS crcs FROM (
