@@ -303,11 +303,30 @@ def test_content_of_null_text_is_empty_either_way(spark):
     df = spark.createDataFrame([("a", None), ("b", "Fixed the thing today. Regards all of you")], "key string, r string")
     found = spark.createDataFrame([("regards all of you",)], "key string")
     for limit in (0, 100):
-        rows = {r.key: r for r in quality.extract_content(df, "r", found, "key", inline_keys=limit).collect()}
+        rows = {r.key: r for r in quality.extract_content(df, "r", found, inline_keys=limit).collect()}
         assert rows["a"].resolution_content == "" and rows["a"].content_words == 0
         assert rows["b"].resolution_content == "Fixed the thing today"
 
 
+def test_content_and_labels_with_repeated_ids_and_clashing_names(spark):
+    rows = [
+        (1, "Own words of one here. Regards all of you", "a", 1, "p", "vpn"), (1, "Own words of two here. Regards all of you", "b", 2, "q", "vpn"),
+        (None, "Third text has words. Regards all of you", "c", 3, None, "mail"), (None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, r string, _text string, _row int, _probe string, _known string")
+    found = spark.createDataFrame([("regards all of you",)], "key string")
+    want = sorted(str((*row, c)) for row, c in zip(rows, ["Own words of one here", "Own words of two here", "Third text has words", ""]))
+    for limit in (0, 100):
+        got = quality.extract_content(df, "r", found, inline_keys=limit)
+        assert got.columns == [*df.columns, "resolution_content", "content_words"]
+        assert sorted(str(tuple(r[:-1])) for r in got.collect()) == want
+    labels = df.withColumnsRenamed({"_row": "text", "_probe": "pattern"}).withColumn("r", F.concat("r", F.lit(" VPN-3 mail")))
+    want = sorted(str((i, r and r, t, n, q, k)) for i, r, t, n, q, k in rows)
+    for limit in (0, 100):
+        got = filters.strip_labels(labels, "r", "_known", pattern_labels=limit)
+        assert got.columns == labels.columns and sorted(str(tuple(r)) for r in got.collect()) == want
+
+
 def test_zero_vectors_stay_zero(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id int, v array<double>")
     assert {r.id: r.v for r in topics.unit(df, "v").collect()} == {1: [0.0, 0.0], 2: [0.6, 0.8]}

@@ -106,8 +106,8 @@ def test_strict_content_drops_greeted_boilerplate(spark):
     df = spark.createDataFrame(rows, "id int, r string")
     found = quality.boilerplate(df, "r", 0.5)
     assert [r.key for r in found.collect()] == ["your ticket is open now"]
-    loose = quality.extract_content(df, "r", found, "id").where("id = 1").first()
-    strict = quality.extract_content(df, "r", found, "id", strict=True).where("id = 1").first()
+    loose = quality.extract_content(df, "r", found).where("id = 1").first()
+    strict = quality.extract_content(df, "r", found, strict=True).where("id = 1").first()
     assert loose.resolution_content == "your ticket is open now fix number 1 was made"
     assert strict.resolution_content == "fix number 1 was made"
 
@@ -117,7 +117,7 @@ def test_content_is_the_same_joined_or_inline(spark, inline_keys):
     rows = [(i, f"same words come here. own words of {i}. same words come here.") for i in range(6)]
     df = spark.createDataFrame(rows, "id int, r string")
     found = quality.boilerplate(df, "r", 0.9)
-    got = quality.extract_content(df, "r", found, "id", inline_keys=inline_keys)
+    got = quality.extract_content(df, "r", found, inline_keys=inline_keys)
     assert {r.id: r.resolution_content for r in got.collect()} == {
         i: f"own words of {i}" for i in range(6)
     }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
+from triagelake.operators.rows import fresh
 
 # Labels folded into one pattern; more are looked up by their words.
 PATTERN_LABELS = 1000
@@ -65,17 +66,19 @@ def _strip_fetched(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
     """
     words = F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
     texts = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
-    texts = texts.select(F.sha2(column, 256).alias("_text"), words.alias("words"))
-    asked = texts.select("_text", F.explode(F.array_append(F.array_distinct("words"), "")).alias("word"))
+    texts = texts.select(F.sha2(column, 256).alias("text"), words.alias("words"))
+    asked = texts.select("text", F.explode(F.array_append(F.array_distinct("words"), "")).alias("word"))
     filed = known.select("label", F.lower(F.regexp_extract("label", WORD, 0)).alias("word"))
     escaped = F.regexp_replace("label", r"([^\p{L}\p{N}_\s])", r"\\$1")
-    fetched = asked.join(filed, "word").select("_text", F.struct(-F.length("label"), "label", escaped.alias("e")).alias("l"))
+    fetched = asked.join(filed, "word").select("text", F.struct(-F.length("label"), "label", escaped.alias("e")).alias("l"))
     body = F.array_join(F.transform(F.array_sort(F.collect_set("l")), lambda x: x["e"]), "|")
-    patterns = fetched.groupBy("_text").agg(
-        F.concat(F.lit(r"(?iU)\b(?:"), body, F.lit(r")(?:-\d+)?\b")).alias("_pattern")
+    digest = fresh("text", df.columns)
+    pattern = fresh("pattern", [*df.columns, digest])
+    patterns = fetched.groupBy(F.col("text").alias(digest)).agg(
+        F.concat(F.lit(r"(?iU)\b(?:"), body, F.lit(r")(?:-\d+)?\b")).alias(pattern)
     )
-    rows = df.withColumn("_text", F.sha2(column, 256)).join(patterns, "_text", "left")
-    cut = F.regexp_replace(F.col(column), F.coalesce("_pattern", F.lit(r"(?!)")), F.lit(" "))
+    rows = df.withColumn(digest, F.sha2(column, 256)).join(patterns, digest, "left")
+    cut = F.regexp_replace(F.col(column), F.coalesce(pattern, F.lit(r"(?!)")), F.lit(" "))
     return rows.withColumn(column, text.squeeze(cut)).select(*df.columns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
-from triagelake.operators.rows import keep_first, settle
+from triagelake.operators.rows import fresh, keep_first, settle
 from triagelake.session import checkpoint
 
 # Boilerplate keys held as one constant inside a task; more than this are
@@ -54,7 +54,6 @@ def extract_content(
     df: DataFrame,
     column: str,
     found: DataFrame,
-    key: str,
     strict: bool = False,
     min_words: int = fixed.MIN_SENTENCE_WORDS,
     inline_keys: int = INLINE_KEYS,
@@ -68,11 +67,14 @@ def extract_content(
 
     The boilerplate keys number at most (mean distinct sentences per
     document) / threshold.  Up to ``inline_keys`` they travel as a constant
-    and no text is shuffled; beyond that they are joined.
+    and no text is shuffled; beyond that they are joined.  Rows are told apart
+    by a number of their own, so ``key`` may repeat or be NULL, and the
+    result is the same on both ways.
     """
     found = checkpoint(found.select("key"))
-    few = found.limit(inline_keys + 1).count() <= inline_keys
-    single = dedupe_sentences(df, column, "_text", "\n" if strict else " ")
+    known = [r.key for r in found.limit(inline_keys + 1).collect()]
+    body, row, probed = (fresh(n, df.columns) for n in ("_text", "_row", "_probe"))
+    single = dedupe_sentences(df, column, body, "\n" if strict else " ")
 
     def probe(s: Column) -> Column:
         return text.sentence_key(text.trim_edges(s) if strict else s)
@@ -83,23 +85,23 @@ def extract_content(
             F.filter(trimmed, lambda s: text.word_count(s) >= min_words), " "
         )
 
-    spoken = text.sentences(F.col("_text"))
-    if few:
-        known = found.agg(F.collect_set("key")).scalar()
-        kept = F.filter(spoken, lambda s: ~F.array_contains(F.col("_known"), probe(s)))
-        done = single.withColumn("_known", known)
-        done = settle(done, resolution_content=F.coalesce(content_of(kept), F.lit("")))
+    spoken = text.sentences(F.col(body))
+    if len(known) <= inline_keys:
+        kept = F.filter(spoken, lambda s: ~probe(s).isin(known)) if known else spoken
+        done = settle(single, resolution_content=F.coalesce(content_of(kept), F.lit("")))
     else:
-        exploded = single.select(key, F.posexplode(spoken).alias("pos", "s"))
-        exploded = exploded.withColumn("_probe", probe(F.col("s")))
-        left = exploded.join(found.withColumnRenamed("key", "_probe"), "_probe", "left_anti")
+        single = checkpoint(single.withColumn(row, F.monotonically_increasing_id()))
+        exploded = single.select(F.col(row), F.posexplode(spoken).alias("pos", "s"))
+        exploded = exploded.withColumn(probed, probe(F.col("s")))
+        left = exploded.join(found.withColumnRenamed("key", probed), probed, "left_anti")
         ordered = F.sort_array(F.collect_list(F.struct("pos", "s")))
         kept = F.transform(ordered, lambda x: x["s"])
-        per_row = left.groupBy(key).agg(content_of(kept).alias("resolution_content"))
-        done = single.join(per_row, key, "left").fillna("", ["resolution_content"])
-    return done.withColumn(
-        "content_words", text.word_count(F.col("resolution_content"))
-    ).drop("_text", "_known")
+        per_row = left.groupBy(row).agg(content_of(kept).alias("resolution_content"))
+        single = single.drop("resolution_content").join(per_row, row, "left").drop(row)
+        done = single.withColumn("resolution_content", F.coalesce("resolution_content", F.lit("")))
+    words = text.word_count(F.col("resolution_content"))
+    out = [c for c in df.columns if c not in ("resolution_content", "content_words")]
+    return done.select(*out, "resolution_content", words.alias("content_words"))
 
 
 def content_floors(

@@ -27,10 +27,19 @@ def keep_first(df: DataFrame, items: Column, key, out: str) -> DataFrame:
     tagged = F.transform(
         items, lambda x, i: F.struct(key(x).alias("k"), i.alias("pos"), x.alias("item"))
     )
-    df = settle(df, _sorted=F.sort_array(tagged))
+    rank = fresh("_sorted", df.columns)
+    df = settle(df, **{rank: F.sort_array(tagged)})
     runs = F.filter(
-        F.col("_sorted"),
-        lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["k"] != e["k"]),
+        F.col(rank),
+        lambda e, i: (i == 0) | (F.get(rank, i - 1)["k"] != e["k"]),
     )
     ordered = F.sort_array(F.transform(runs, lambda e: F.struct(e["pos"], e["item"])))
-    return settle(df, **{out: F.transform(ordered, lambda e: e["item"])}).drop("_sorted")
+    return settle(df, **{out: F.transform(ordered, lambda e: e["item"])}).drop(rank)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -102,7 +102,7 @@ def desk_corpus(t: Tables) -> DataFrame:
     """Retrieval corpus of the tickets, keyed ``corpus_id``."""
     tickets = checkpoint(desk(t).where("retrievable"))
     found = quality.boilerplate(tickets, "resolution")
-    content = quality.extract_content(tickets, "resolution", found, "ticket_id")
+    content = quality.extract_content(tickets, "resolution", found)
     corpus = retrieval.build_corpus(tickets, content, "doc_id")
     return checkpoint(corpus.withColumn("corpus_id", F.col("doc_id")))
 

@@ -483,7 +483,7 @@ CONTENT = duck.content("documents", "doc_id", "text")
 
 def content(t):
     docs = t.documents.select("doc_id", "text")
-    return quality.extract_content(docs, "text", quality.boilerplate(docs, "text"), "doc_id")
+    return quality.extract_content(docs, "text", quality.boilerplate(docs, "text"))
 
 
 @query("agg_boilerplate", f"WITH {BOILER} SELECT key, docs, round(share, 6) AS share FROM boiler")
