@@ -6,9 +6,9 @@ rolling hash of the turns up to it (128 bits); anti-joins of whole-conversation
 hashes against hashes of proper beginnings keep the maximal conversations,
 which alone have their texts moved and rendered.
 
-Defined results: turns are ordered by number, then by role and text (for the
-hashes: a hash of the text), NULLs first; NULL role or text equals the empty string; rows with NULL conversation
-id form one conversation; a repeated row is a turn of its own; an empty table
+Defined results: turns are ordered by number, then by role and text, NULL
+numbers first, for hashes and rendering alike; NULL role or text equals the
+empty string; rows with NULL conversation id form one conversation; a repeated row is a turn of its own; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -25,9 +25,9 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     hashed = turns.select(
         "conv_id", "turn",
         F.xxhash64(F.lit(1), "role", "text").alias("a"), F.xxhash64(F.lit(2), "text", "role").alias("b"),
-        "role", F.xxhash64(F.lit(3), "text").alias("_t"),
+        "role", "text",
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "_t")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = hashed.select("conv_id", "a", "b", F.row_number().over(order).alias("n"))
     so_far = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rolled = [

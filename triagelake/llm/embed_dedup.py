@@ -15,11 +15,14 @@ that a pair at the threshold shares a cell in one of them with probability
 ``1 - MISS``.  A pair is counted in the first table whose cell it shares.
 Cells with many vectors are cut into blocks, every two of which meet.
 
-Equal vectors are one class, counted with its multiplicity.  Defined results:
-vectors that are NULL, empty, zero or hold NULL or non-finite components link
-with nothing and are kept; vectors of different length never link; rows that
-repeat an id are vectors of their own that share it; an empty table gives no
-rows; other columns are ignored.
+Equal vectors are one class, counted with its multiplicity; classes carry
+numbers of their own through tiles and graph, and ids come back at the end.
+Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite
+components link with nothing and are kept; vectors of different length never
+link; rows that repeat an id are vectors of their own that share it; rows of
+NULL id link like any other and have the least id of their component, NULL
+where none has one, and then they are kept; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.llm.arrow import bounds, sorted_groups, tidy
 from triagelake.llm.graph import EDGES, components
@@ -85,8 +89,9 @@ def cells(bits: int, tables: int):
     def run(batches):
         lines: dict[int, np.ndarray] = {}
         weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+        kind = np.int32 if bits < 32 else np.int64
         for batch in batches:
-            out = np.zeros((batch.num_rows, tables), np.int64)
+            out = np.zeros((batch.num_rows, tables), kind)
             vectors = batch.column("vector").to_pylist()
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes).tolist():
@@ -97,7 +102,7 @@ def cells(bits: int, tables: int):
                     some = at[i : i + 2048]
                     side = unit([vectors[k] for k in some]) @ lines[size] > 0
                     out[some] = side.reshape(len(some), tables, bits) @ weight
-            yield pa.record_batch([*batch.columns, pa.array(list(out), pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
+            yield pa.record_batch([*batch.columns, pa.array(list(out), pa.list_(pa.from_numpy_dtype(kind)))], names=[*batch.schema.names, "cells"])
 
     return run
 
@@ -148,11 +153,11 @@ def collisions(cosine: float):
         flat = lambda lists, rows: np.asarray(lists.flatten()).reshape(rows, -1)
         for table in sorted_groups(batches, "tile"):
             cut = bounds(table.column("tile").to_numpy())
-            columns = {c: table.column(c).combine_chunks() for c in ("id", "copies", "side", "own", "vector", "cells")}
+            columns = {c: table.column(c).combine_chunks() for c in ("node", "copies", "side", "own", "vector", "cells")}
             a, b, n = [], [], []
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 part = {c: v.slice(s, e - s) for c, v in columns.items()}
-                ids, copies, side, own = (part[c].to_numpy(zero_copy_only=False) for c in ("id", "copies", "side", "own"))
+                ids, copies, side, own = (part[c].to_numpy(zero_copy_only=False) for c in ("node", "copies", "side", "own"))
                 vectors = unit(flat(part["vector"], len(ids)))
                 cell = flat(part["cells"], len(ids))
                 links = np.zeros(len(ids), np.int64)
@@ -178,34 +183,38 @@ def collisions(cosine: float):
 def dedup(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = F.col(vector).cast("array<double>")
+    # Single precision is half to ship; arithmetic is double.
+    item = getattr(df.schema[vector].dataType, "elementType", None)
+    sort = "float" if isinstance(item, T.FloatType) else "double"
+    v = F.col(vector).cast(f"array<{sort}>")
     fit = F.coalesce((F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(fit, v).alias("vector"))
     # Zeros of either sign are one number.
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: (x + F.lit(0.0)).cast(sort)))
     rows = checkpoint(rows.withColumn("cls", F.xxhash64("vector")))
     classes = checkpoint(
         rows.where("vector is not null").groupBy("cls", "vector")
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     bits, tables = plan(classes.count(), cosine)
-    schema = "cls long, vector array<double>, id long, copies long, cells array<long>"
-    placed = checkpoint(classes.mapInArrow(tidy(cells(bits, tables)), schema))
-    each = placed.select("id", "copies", "vector", "cells", F.posexplode("cells").alias("own", "cell"))
+    schema = f"node long, copies long, vector array<{sort}>, cells array<{'int' if bits < 32 else 'long'}>"
+    placed = checkpoint(classes.select("node", "copies", "vector").mapInArrow(tidy(cells(bits, tables)), schema))
+    each = placed.select("node", "copies", "vector", "cells", F.posexplode("cells").alias("own", "cell"))
     each = each.withColumn("size", F.size("vector"))
     large = each.groupBy("own", "cell", "size").count().where(F.col("count") > TILE)
     each = each.join(checkpoint(large), ["own", "cell", "size"], "left")
-    tiles = blocked(each, ["own", "cell", "size"], "count", F.lit(TILE), "id")
-    tiles = tiles.select("tile", "side", "own", "id", "copies", "vector", "cells")
+    tiles = blocked(each, ["own", "cell", "size"], "count", F.lit(TILE), "node")
+    tiles = tiles.select("tile", "side", "own", "node", "copies", "vector", "cells")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile")
     found = checkpoint(tiles.mapInArrow(tidy(collisions(cosine)), FOUND))
-    links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    groups = components(found.select("a", "b"))
-    known = classes.join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left").select(
-        "cls", "vector",
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
+    links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    known = classes.join(links, "node", "left").join(components(found.select("a", "b")), "node", "left").select(
+        "cls", "vector", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "node").alias("component"),
     )
+    least = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = known.join(least, "component").select("cls", "vector", "n_links", "component_id")
     out = rows.join(known, ["cls", "vector"], "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),

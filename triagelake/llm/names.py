@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
+from triagelake.operators.rows import fresh
 
-def fresh(name: str, columns: list[str]) -> str:
-    """``name``, with underscores in front until no column is called so."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+__all__ = ["fresh"]

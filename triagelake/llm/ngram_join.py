@@ -21,11 +21,13 @@ one of ``KEYS`` keys, each of ``ROWS`` least hashes; two sets at a Jaccard of
 4. Components of the true links are the result.
 
 Words: A-Z lower-cased, split at ASCII white space.  Members are 64-bit
-hashes of five words each.  Defined results: NULL, empty and blank texts have
-the empty set and stay alone; fewer than five words are one shingle; rows
-that repeat an id are one document, linked when one of its texts is; rows of
-NULL id have the component of their set, or NULL; an empty table gives no
-rows; other columns are ignored.
+hashes of five words each.  Classes carry numbers of their own through tiles
+and graph; ids come back at the end.  Defined results: NULL, empty and blank
+texts have the empty set and stay alone; fewer than five words are one shingle;
+rows that repeat an id are one document, linked when one of its texts is; rows
+of NULL id are documents of their own, link like any other and have the least
+id of their component, NULL where none has one; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ TILE_BYTES = 8 << 20
 LEAST_BITS, MOST_BITS = 128, 1 << 16
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) for i in range(SHINGLE + KEYS * ROWS)], np.uint64)
 FLIP = mix(np.arange(1, KEYS * ROWS + 1, dtype=np.uint64))
-SKETCH = "id long, n long, bytes long, cls long, bitmap binary, keys array<long>"
+SKETCH = "n long, bytes long, cls long, bitmap binary, keys array<long>"
 
 
 def shingle_sets(data, off, i, j):
@@ -84,7 +86,7 @@ def bitmap(members: np.ndarray, bits: int) -> bytes:
 
 
 def sketch(batches):
-    """Per text: id, set size, bytes, hash of the set, bitmap and tile keys."""
+    """Per text: id, hash, set size, bytes, hash of the set, bitmap and tile keys."""
     for batch in record_batches(batches):
         data, off = utf8(batch.column("_text"))
         for i, j in pieces(off, 1 << 19):
@@ -107,11 +109,11 @@ def sketch(batches):
                     keys[r] = row
             yield pa.record_batch(
                 [
-                    batch.column("_id").slice(i, j - i), pa.array(n.astype(np.int64)),
+                    batch.column("id").slice(i, j - i), batch.column("hash").slice(i, j - i), pa.array(n.astype(np.int64)),
                     pa.array(np.diff(off[i : j + 1])), pa.array(cls.view(np.int64)),
                     pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "bytes", "cls", "bitmap", "keys"],
+                names=["id", "hash", "n", "bytes", "cls", "bitmap", "keys"],
             )
 
 
@@ -161,10 +163,10 @@ def forest(n, raw, side, check=None):
 
 
 def tiles(batches):
-    """Forest links between ids of the tiles in batches sorted by ``tile``."""
+    """Forest links between nodes of the tiles in batches sorted by ``tile``."""
     for table in sorted_groups(batches, "tile"):
         cut = bounds(table.column("tile").to_numpy())
-        n, ids = table.column("n").to_numpy(), table.column("id").to_numpy()
+        n, ids = table.column("n").to_numpy(), table.column("node").to_numpy()
         side, raw = table.column("side").to_numpy(), table.column("bitmap").to_pylist()
         a, b = [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -188,7 +190,7 @@ def exact(batches):
             n = np.array([len(x) for x in sets])
             # Clusters may span bands; bitmaps of one width for all.
             bits = bits_for(int(np.median(n)))
-            ids = part.column("id").to_numpy()
+            ids = part.column("node").to_numpy()
 
             def linked(i, j, sets=sets):
                 x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
@@ -219,36 +221,57 @@ def streamed(df: DataFrame, run, schema: str) -> DataFrame:
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """``key, n_shingles, component_id`` for every row."""
-    source = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    sketches = checkpoint(source.mapInArrow(tidy(sketch), SKETCH))
+    source = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("_text"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:2])
+    sketches = checkpoint(source.mapInArrow(tidy(sketch), f"{kept}, {SKETCH}"))
+    full = sketches.where("n > 0")
     classes = checkpoint(
-        sketches.where("n > 0").groupBy("cls", "n").agg(
-            F.min("id").alias("id"), F.first("bytes").alias("bytes"),
+        full.groupBy("cls", "n").agg(
+            F.min("id").alias("id"), F.min(F.struct("id", "hash")).alias("one"), F.first("bytes").alias("bytes"),
             F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"),
-        )
+        ).withColumn("node", F.monotonically_increasing_id())
     )
     # A band ends where its bitmaps' bits do; the sets near enough to its end
     # to reach the threshold with one beyond it go to the next tile too.
     band = 8 * F.octet_length("bitmap")
     near = F.when(100 * F.col("n") >= PERCENT * band, F.array(band, 2 * band)).otherwise(F.array(band))
-    keyed = classes.select("id", "n", "bitmap", "keys", F.explode(near).alias("band"))
-    rows = keyed.select("id", "n", "bitmap", "band", F.explode("keys").alias("key"))
+    keyed = classes.select("node", "n", "bitmap", "keys", F.explode(near).alias("band"))
+    rows = keyed.select("node", "n", "bitmap", "band", F.explode("keys").alias("key"))
     large = rows.groupBy("key", "band").count().where(F.col("count") > tile)
     rows = rows.join(checkpoint(large), ["key", "band"], "left")
-    rows = blocked(rows, ["key", "band"], "count", F.lit(tile), "id")
-    links = streamed(rows.select("tile", "side", "id", "n", "bitmap"), tiles, EDGES)
+    rows = blocked(rows, ["key", "band"], "count", F.lit(tile), "node")
+    links = streamed(rows.select("tile", "side", "node", "n", "bitmap"), tiles, EDGES)
     clusters = checkpoint(components(links).withColumnRenamed("component", "cluster"))
-    members = clusters.join(classes.select(F.col("id").alias("node"), "bytes"), "node")
+    members = clusters.join(classes.select("node", "bytes", "one"), "node")
     sizes = members.groupBy("cluster").agg(F.sum("bytes").alias("size"))
-    members = checkpoint(members.join(sizes, "cluster").select("cluster", "node", "size"))
-    texts = source.join(members, source["_id"] == members["node"]).select("cluster", "size", "node", "_text")
+    members = checkpoint(members.join(sizes, "cluster").select("cluster", "node", "size", "one"))
+    # One text of each set; rows that repeat id and text are one.
+    texts = source.join(members, source["id"].eqNullSafe(F.col("one.id")) & (source["hash"] == F.col("one.hash")))
+    texts = texts.select("cluster", "size", "node", "_text").dropDuplicates(["node"])
     texts = blocked(texts, ["cluster"], "size", F.lit(TILE_BYTES), "node")
-    true = streamed(texts.select("tile", "side", F.col("node").alias("id"), "_text"), exact, EDGES)
-    found = components(true)
-    least = classes.join(found, F.col("id") == F.col("node"), "left").select(
-        "cls", "n", F.coalesce("component", "id").alias("component_id")
-    )
-    return sketches.join(least, ["cls", "n"], "left").select(
+    true = streamed(texts.select("tile", "side", "node", "_text"), exact, EDGES)
+    found = components(true.union(same_document(full, classes)))
+    placed = classes.join(found, "node", "left").select("cls", "n", "id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = placed.join(least, "component").select("cls", "n", "component_id")
+    told = full.join(least, ["cls", "n"]).select("id", "n", "component_id")
+    # A row without words has the component of its document's other rows.
+    bare = sketches.where("n = 0").select("id", "n")
+    other = told.where("id is not null").join(bare.select("id").distinct(), "id", "left_semi")
+    other = other.groupBy("id").agg(F.min("component_id").alias("component_id"))
+    told = told.union(bare.join(other, "id", "left").select("id", "n", "component_id"))
+    return told.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
     )
+
+
+def same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat an id."""
+    again = rows.where("id is not null").groupBy("id").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+    again = checkpoint(again.where("low != high").select("id", "low"))
+    pairs = rows.join(again, "id").select("cls", "low").distinct()
+    node = classes.select("cls", "node")
+    return pairs.join(node, "cls").join(node.select(F.col("cls").alias("low"), F.col("node").alias("b")), "low").select(
+        F.col("node").alias("a"), "b"
+    )

@@ -34,7 +34,8 @@ BASE_RULES = [
     ("allow", "org/fr/"),
 ]
 PATTERN_RULES = ["||spam-farm.", "||free-bets.", "||casino-win.", "||ads-track."]
-MAX_RULES = 100_000
+# Up to so many rules are broadcast; more are joined as the planner sees fit.
+BROADCAST_RULES = 100_000
 
 
 def to_regex(pattern: str) -> str:
@@ -70,12 +71,7 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
 
 
 def index_rules(spark, rules: list[tuple], counts: dict[str, int]) -> DataFrame:
-    """``token, rules``: the rules filed under each token.
-
-    The number of rules is checked, so the table may be broadcast.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: judge by parts of them and combine the verdicts")
+    """``token, rules``: the rules filed under each token."""
     filed: dict[str, list] = {}
     for kind, rule, verdict, pattern in rules:
         tokens = sure_tokens(pattern)
@@ -96,11 +92,12 @@ def judge(
     urls = df.select(F.concat("host", "path").alias("_target")).distinct()
     found = F.regexp_extract_all(F.lower("_target"), F.lit("([a-z0-9]+)"))
     tokens = urls.select("_target", F.explode(F.array_append(F.array_distinct(found), "")).alias("token"))
+    small = F.broadcast if len(rules) <= BROADCAST_RULES else lambda df: df
     # Counted over all URLs; only the counts of rules' own tokens come back.
     wanted = spark.createDataFrame([(t,) for t in {t for r in rules for t in sure_tokens(r[3])}], "token string")
-    seen = tokens.join(F.broadcast(wanted), "token").groupBy("token").count().collect()
+    seen = tokens.join(small(wanted), "token").groupBy("token").count().collect()
     index = index_rules(spark, rules, {r["token"]: r["count"] for r in seen})
-    candidates = tokens.join(F.broadcast(index), "token").select("_target", F.explode("rules").alias("_rule"))
+    candidates = tokens.join(small(index), "token").select("_target", F.explode("rules").alias("_rule"))
     matched = candidates.where(F.regexp_like("_target", "_rule.regex"))
     best = matched.groupBy("_target").agg(F.max("_rule").alias("_best"))
     # Names of the pages' own columns may be any.
