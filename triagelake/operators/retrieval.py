@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
-from triagelake.operators import features, filters, search, split
+from triagelake.operators import features, filters, postings, search, split
 from triagelake.operators.ranks import quantiles
 from triagelake.session import checkpoint
 
@@ -44,26 +42,9 @@ def sparse_search(
 ) -> DataFrame:
     """TF-IDF search.  ``queries (query_id, text)``, ``corpus (corpus_id,
     text)``; the vocabulary is fitted on the corpus alone."""
-    # Every text is split into terms once; the counts serve vocabulary and weights.
-    counts = checkpoint(features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id"))
-    asked_counts = checkpoint(
-        features.term_counts(features.with_terms(queries, "text", ngrams), "query_id")
-    )
-    asked = features.asked_terms(asked_counts)
-    # Corpus terms that no query holds count for the length of a document,
-    # but are not carried into the scoring.
-    terms = checkpoint(
-        features.vocabulary(counts, counts)
-        .select("term", "idf")
-        .join(asked.withColumn("asked", F.lit(True)), "term", "left")
-    )
-    vectors = checkpoint(
-        features.weigh(counts, terms, "corpus_id", keys=counts.select("corpus_id"), keep="asked")
-    )
-    wanted = features.weigh(
-        asked_counts, terms.where("asked"), "query_id", keys=asked_counts.select("query_id")
-    )
-    return search.top_k(checkpoint(wanted), vectors, "sparse", k, exclude_self, **options)
+    counts = postings.numbered_counts(queries, "query_id", "text", ngrams, "qid")
+    index = postings.build(corpus, ngrams, features.asked_terms(counts))
+    return postings.top_k(counts, index, k, exclude_self, **options)
 
 
 def dense_search(
@@ -85,22 +66,13 @@ def with_payload(hits: DataFrame, corpus: DataFrame) -> DataFrame:
 
 # --- index files -------------------------------------------------------------
 
-INDEX_PARTS = ("corpus", "terms", "vectors")
-
-
 def save_index(corpus: DataFrame, path: str, ngrams: tuple[int, int] = (1, 2)) -> None:
-    """Write corpus, vocabulary and weights, so scoring never refits."""
-    counts = checkpoint(features.term_counts(features.with_terms(corpus, "text", ngrams), "corpus_id"))
-    spark = corpus.sparkSession
-    corpus.write.mode("overwrite").parquet(os.path.join(path, "corpus"))
-    features.vocabulary(counts, counts).write.mode("overwrite").parquet(os.path.join(path, "terms"))
-    terms = spark.read.parquet(os.path.join(path, "terms"))
-    vectors = features.weigh(counts, terms, "corpus_id", keys=counts.select("corpus_id"))
-    vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
+    """Write postings, vocabulary and weights, so scoring never refits."""
+    postings.save(postings.build(corpus, ngrams), path)
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {p: spark.read.parquet(os.path.join(path, p)) for p in INDEX_PARTS}
+    return postings.load(spark, path)
 
 
 def search_index(
@@ -111,8 +83,8 @@ def search_index(
     **options,
 ) -> DataFrame:
     """Search a saved index."""
-    asked = features.tfidf_queries(queries, "query_id", "text", index["terms"], ngrams)
-    return search.top_k(checkpoint(asked), index["vectors"], "sparse", k, **options)
+    counts = postings.numbered_counts(queries, "query_id", "text", ngrams, "qid")
+    return postings.top_k(counts, index, k, **options)
 
 
 # --- evaluation --------------------------------------------------------------
