@@ -26,10 +26,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least id."""
-    joined = ngram_join.join(docs)
-    lost = checkpoint(joined.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.select(*COLUMNS).join(lost, "doc_id", "left_anti")
+    """One document of each group of near copies: the one of least id.
+
+    Rows of NULL id go where their group has an id; where none has, its
+    different texts stay, as no id tells them apart.
+    """
+    joined = ngram_join.join(docs, hashed=True).withColumnRenamed("doc_id", "lost_id")
+    lost = checkpoint(joined.where("not (lost_id <=> component_id)").select("lost_id", "text_hash").distinct())
+    gone = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    kept = docs.select(*COLUMNS).join(lost, gone, "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 

@@ -97,6 +97,19 @@ def test_odd_rows_pass(spark, tmp_path):
         assert sorted(repr(r.doc_id) for r in got) == (["1", "2", "None", "None"] if part else [])
 
 
+def test_null_ids_with_near_copies(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, text), (2**60 + 1, text + " a"), (2**60 + 3, "b " + text), (None, "c " + text), (None, "quite another text with words of its own")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.join_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == [repr(2**60 + 1), "None"]
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted({repr(r.doc_id) for r in docs.collect()}) == [repr(2**60 + 1), "None"]
+
+
 def test_no_other_module_imports_the_subpackage():
     import pathlib
 

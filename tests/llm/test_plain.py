@@ -236,6 +236,22 @@ def brute_join(rows):
     return sorted((repr(i), len(s), repr(least[u])) for (i, s), u in zip(sets, up))
 
 
+def test_null_ids_beside_near_copies(spark):
+    """NULL, repeated and huge ids, several of each, in one group and alone."""
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(words)
+    huge = 2**60
+    rows = [
+        (None, text), (1, text + " x"), (3, "a " + text + " y"), (None, "b " + text), (huge + 1, text + " z"), (huge + 3, text + " z q"),
+        (None, "alone and without any near copy at all"), (None, "other words that link with each other"), (None, "other words that link with each other"),
+        (5, None), (5, "some words of a document of two rows"), (4, "some words of a document of two rows"), (5, ""), (None, None), (9, " "),
+        (huge + 5, "c " + text),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in ngram_join.join(df).collect())
+    assert got == brute_join(rows)
+
+
 def test_join_is_brute_force(spark):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -372,6 +388,46 @@ def test_overlapping_spans_mask_once(spark):
 # op8
 
 
+def test_null_ids_beside_near_vectors(spark):
+    base = np.random.default_rng(3).standard_normal(32)
+    near = lambda x: (base + np.eye(32)[x % 32] * 0.05).tolist()
+    far = (-base).tolist()
+    huge = 2**60
+    rows = [(huge + 1, near(1)), (huge + 3, near(2)), (None, near(3)), (None, near(4)), (7, near(5)), (7, near(5)), (None, far), (8, None)]
+    for item in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{item}>").repartition(3)
+        got = sorted((repr(r.vec_id), r.n_links, repr(r.component_id), r.kept) for r in embed_dedup.dedup(df).collect())
+        assert got == sorted([
+            (repr(huge + 1), 5, "7", False), (repr(huge + 3), 5, "7", False), ("None", 5, "7", False), ("None", 5, "7", False),
+            ("7", 5, "7", True), ("7", 5, "7", True), ("None", 0, "None", True), ("8", 0, "8", True),
+        ])
+    some = spark.createDataFrame([(huge + 1, near(1)), (huge + 3, near(2)), (None, far)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.dedup(some).collect()} == {
+        huge + 1: (1, huge + 1), huge + 3: (1, huge + 1), None: (0, None),
+    }
+
+
+def test_tied_turns_collapse_in_the_order_they_are_shown(spark):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for pair in range(30):
+        a, b = f"text {rng.random()}", f"text {rng.random()}"
+        first, last = sorted((a, b))
+        rows += [(2 * pair, 1, "user", first)] + [(2 * pair + 1, 1, "user", t) for t in rng.sample([first, last], 2)]
+        want.add(2 * pair + 1)
+    rows += [(None, 1, "user", "x"), (None, None, None, None), (100, 1, "user", "twice"), (100, 1, "user", "twice"), (101, 1, "user", "twice")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.render(df).collect()}
+    assert set(got) == want | {None, 100} and got[100].n_turns == 2 and got[None].n_turns == 2
+
+
+def test_many_rules(spark):
+    rules = [f"||host{i}.example." for i in range(120_000)]
+    df = spark.createDataFrame([(i, f"http://host{i * 7}.example.org/a") for i in range(50)] + [(99, None)], "page_id long, url string")
+    got = {r.page_id: r.pattern for r in urls.judge(df, base=[], patterns=rules).collect()}
+    assert got == {**{i: f"||host{i * 7}.example." for i in range(50)}, 99: None}
+
+
 def test_links_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))

@@ -219,8 +219,8 @@ def streamed(df: DataFrame, run, schema: str) -> DataFrame:
     return df.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(run), schema)
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """``key, n_shingles, component_id`` for every row."""
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE, hashed: bool = False) -> DataFrame:
+    """``key, n_shingles, component_id`` for every row, and ``text_hash`` if ``hashed``."""
     source = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("_text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:2])
     sketches = checkpoint(source.mapInArrow(tidy(sketch), f"{kept}, {SKETCH}"))
@@ -254,15 +254,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TIL
     placed = classes.join(found, "node", "left").select("cls", "n", "id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     least = placed.join(least, "component").select("cls", "n", "component_id")
-    told = full.join(least, ["cls", "n"]).select("id", "n", "component_id")
+    told = full.join(least, ["cls", "n"]).select("id", "n", "component_id", "hash")
     # A row without words has the component of its document's other rows.
-    bare = sketches.where("n = 0").select("id", "n")
+    bare = sketches.where("n = 0").select("id", "n", "hash")
     other = told.where("id is not null").join(bare.select("id").distinct(), "id", "left_semi")
     other = other.groupBy("id").agg(F.min("component_id").alias("component_id"))
-    told = told.union(bare.join(other, "id", "left").select("id", "n", "component_id"))
+    told = told.union(bare.join(other, "id", "left").select("id", "n", "component_id", "hash"))
     return told.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"), *([F.col("hash").alias("text_hash")] if hashed else []),
     )
 
 
