@@ -46,7 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
-    found = secrets.find(docs.select(*COLUMNS), secrets.train(docs))
+    found = secrets.detect(docs.select(*COLUMNS))
     clean = found.withColumn("text", secrets.masked(F.col("text"), F.col("spans")))
     size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", size).select(*COLUMNS)

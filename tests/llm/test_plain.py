@@ -379,6 +379,63 @@ def test_model_finds_random_strings_and_masks_them(spark):
     assert secrets.find(df.limit(0), secrets.train(df.limit(0))).count() == 0
 
 
+def markov(docs):
+    """The two models from pairs counted in plain Python."""
+    import base64
+    import hashlib
+    import math
+
+    counts = {True: collections.Counter(), False: collections.Counter()}
+    for text in docs:
+        text = text or ""
+        found = spans_by_re(text)
+        if not found:
+            for w in re.findall(r"[A-Za-z0-9+/_-]+", text):
+                counts[False].update(zip(w, w[1:]))
+        for start, rank, end in found:
+            value = text[start:end]
+            value = re.search(secrets.ASSIGN, value)[2] if rank == 0 else value
+            counts[True].update(zip(value, value[1:]))
+    for i in range(secrets.DIGESTS):
+        h = hashlib.sha256(str(i).encode()).hexdigest()
+        for value in (h, base64.b64encode(bytes.fromhex(h)).decode().replace("=", ""), h.upper()[:20]):
+            counts[True].update(zip(value, value[1:]))
+    rows = {side: collections.Counter() for side in counts}
+    for side, c in counts.items():
+        for (a, _), n in c.items():
+            rows[side][a] += n
+    log = lambda side, a, b: math.log((counts[side][a, b] + secrets.SMOOTHING) / (rows[side][a] + 128 * secrets.SMOOTHING))
+    return lambda v: sum(round(log(True, a, b) - log(False, a, b), 2) for a, b in zip(v, v[1:]))
+
+
+def test_all_spans_are_those_of_plain_counts(spark, docs):
+    rng = random.Random(4)
+    token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    texts = [r.text for r in docs.select("text").collect()]
+    texts += [f"x {token()} token={token()} AKIA{token().upper()} {token()}{token()}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = markov(texts)
+    added = 0
+    for r in secrets.detect(df).collect():
+        base = spans_by_re(r.text)
+        runs = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", r.text) if score(m[0]) >= secrets.LEAST_RATIO]
+        runs = [x for x in runs if not any(x[0] < e and s < x[2] for s, _, e in base)]
+        assert [(s["start"], s["rank"], s["end"]) for s in r.spans] == sorted(base + runs)
+        added += len(runs)
+    assert added >= 40
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"AKIA{i:016d} {'z' * (i % 3)}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = secrets.find(df, [0.0] * 16384).select(secrets.masked(F.col("text"), F.col("spans")).alias("m"), "spans").first()
+    assert [(s["start"], s["rank"], s["end"]) for s in found.spans] == spans_by_re(text) and found.m == re.sub(r"AKIA\d{16}", "[secret]", text)
+    assert time.time() - began < 40  # seconds are 5 on an idle machine, minutes if work were quadratic
+
+
 def test_overlapping_spans_mask_once(spark):
     df = spark.createDataFrame([("x token=" + "0" * 40 + " y",)], "text string")
     got = df.select(secrets.masked(F.col("text"), secrets.base_spans(F.col("text")))).first()[0]

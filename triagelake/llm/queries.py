@@ -62,7 +62,7 @@ def op5_packing(spark, folder):
 def op6_secrets(spark, folder):
     """Counts and places of the secrets of every document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    found = secrets.find(documents, secrets.train(documents))
+    found = secrets.detect(documents)
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     return found.select(
