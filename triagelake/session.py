@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
@@ -59,6 +60,12 @@ def cleanup(spark: SparkSession) -> int:
     return removed
 
 
+def measured(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, a written table of a few numbers per row, marked for broadcast
+    if it has at most ``rows`` rows; else the planner shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute once, write to the shared folder, and go on from the files.
 
