@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import decontaminate, ngram_join, packing, quality, secrets
-from triagelake.session import checkpoint, new_dir
+from triagelake.session import checkpoint, measured, new_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "word_bpe_49k.json"
@@ -34,7 +34,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_join.join(docs, hashed=True).withColumnRenamed("doc_id", "lost_id")
     lost = checkpoint(joined.where("not (lost_id <=> component_id)").select("lost_id", "text_hash").distinct())
     gone = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("text_hash"))
-    kept = docs.select(*COLUMNS).join(lost, gone, "left_anti")
+    kept = docs.select(*COLUMNS).join(measured(lost), gone, "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.arrow import bounds, mix, pieces, record_batches, sorted_groups, tidy, utf8, words
 from triagelake.llm.graph import EDGES, Forest, components
-from triagelake.session import checkpoint
+from triagelake.session import checkpoint, measured
 
 SHINGLE = 5
 PERCENT = 80
@@ -245,8 +245,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TIL
     members = clusters.join(classes.select("node", "bytes", "one"), "node")
     sizes = members.groupBy("cluster").agg(F.sum("bytes").alias("size"))
     members = checkpoint(members.join(sizes, "cluster").select("cluster", "node", "size", "one"))
-    # One text of each set; rows that repeat id and text are one.
-    texts = source.join(members, source["id"].eqNullSafe(F.col("one.id")) & (source["hash"] == F.col("one.hash")))
+    # One text of each set; rows that repeat id and text are one.  Texts of no
+    # cluster are left behind by their hashes before any text moves.
+    hashes = measured(members.select(F.col("one.hash").alias("wanted")))
+    near = source.join(hashes, F.col("hash") == F.col("wanted"), "left_semi")
+    texts = near.join(members, near["id"].eqNullSafe(F.col("one.id")) & (near["hash"] == F.col("one.hash")))
     texts = texts.select("cluster", "size", "node", "_text").dropDuplicates(["node"])
     texts = blocked(texts, ["cluster"], "size", F.lit(TILE_BYTES), "node")
     true = streamed(texts.select("tile", "side", "node", "_text"), exact, EDGES)
