@@ -7,8 +7,10 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from triagelake.session import prepare
+from triagelake.sources import csv
 
 
+WHOLE_FILES = {"quote", "escape", "comment", "encoding", "charset", "header", "linesep", "multiline"}
 # Tables of long texts, with the key to spread them by.
 TEXT_TABLES = {"documents": "doc_id"}
 
@@ -54,7 +56,13 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str, **options
 ) -> DataFrame:
-    """Header CSV with quoted multi-line text; the schema is explicit."""
+    """Header CSV with quoted multi-line text; the schema is explicit.
+
+    Files are cut into ranges that many tasks read.  Options that change how a
+    quote or a line is told need whole files, one task each.
+    """
+    if not {k.lower() for k in options} & WHOLE_FILES:
+        return csv.read(spark, path, schema, **options)
     reader = spark.read.schema(schema).option("header", True)
     reader = reader.option("multiLine", True).option("escape", '"')
     # An empty quoted string is text, an empty field is NULL.
