@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed, text
 from triagelake.operators import cleaning, events as ev
 from triagelake.operators.profile import drop_leaky_columns  # noqa: F401
+from triagelake.operators.rows import settle
 from triagelake.plans import duck, inputs
 from triagelake.plans.registry import query
 from triagelake.session import new_dir
@@ -66,19 +68,21 @@ UNION ALL SELECT 'described', described FROM m UNION ALL SELECT 'sources', sourc
 """,
 )
 def sink_metrics(t):
-    """All counters of a cleaning report from one aggregation."""
+    """The counters of a cleaning report, gathered while the cleaned table is written."""
     clean = t.documents.select("source", text.strip_markup(F.col("text")).alias("clean"))
-    n = text.word_count(F.col("clean"))
-    return sinks.metric_rows(
-        clean,
+    clean = settle(clean, n=text.word_count(F.col("clean")))
+    table, counters = sinks.write_counted(
+        clean, new_dir(t.spark, "clean"),
         {
-            "rows_total": F.count("*"),
+            "rows_total": F.count(F.lit(1)),
             "with_text": F.count("clean"),
-            "words": F.sum(n),
-            "described": F.sum((n >= 3).cast("long")),
-            "sources": F.count_distinct("source"),
+            "words": F.sum("n"),
+            "described": F.count_if(F.col("n") >= 3),
         },
     )
+    # Distinct values are counted in the one column that was written.
+    counters["sources"] = table.agg(F.count_distinct("source")).first()[0]
+    return sinks.metric_rows(t.spark, counters)
 
 
 @query(
@@ -332,12 +336,14 @@ SELECT *, (SELECT count(*) FROM u) - (SELECT count(*) FROM d) AS removed FROM d
 """,
 )
 def clean_exact_dupes(t):
+    """Rows before and after are counted in the job that writes the distinct ones."""
     rows = t.documents.select("text", "lang", "source")
-    doubled = rows.unionByName(rows)
-    distinct = cleaning.drop_exact_duplicates(doubled)
-    before = doubled.agg(F.count("*")).scalar()
-    after = distinct.agg(F.count("*")).scalar()
-    return distinct.withColumn("removed", before - after)
+    before = Observation()
+    doubled = rows.unionByName(rows).observe(before, F.count(F.lit(1)).alias("rows"))
+    table, after = sinks.write_counted(
+        cleaning.drop_exact_duplicates(doubled), new_dir(t.spark, "distinct"), {"rows": F.count(F.lit(1))}
+    )
+    return table.withColumn("removed", F.lit(before.get["rows"] - after["rows"]).cast("long"))
 
 
 # --- whole passes ------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed
@@ -14,19 +14,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``write_table``, with ``counters`` of the rows gathered while they are written."""
+    seen = Observation()
+    table = write_table(df.observe(seen, *[c.alias(name) for name, c in counters.items()]), path)
+    return table, dict(seen.get)
+
+
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> str:
-    """CSV with a header.  Multi-line CSV is read one file per task, so the
-    rows per file are bounded."""
+    """CSV with a header."""
     writer = df.write.mode("overwrite").option("header", True)
     writer = writer.option("escape", '"').option("maxRecordsPerFile", rows_per_file)
     writer.csv(path)
     return path
 
 
-def metric_rows(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
-    """All counters in one pass, as ``(metric, value)`` rows."""
-    totals = df.agg(*[c.cast("long").alias(name) for name, c in metrics.items()])
-    return totals.unpivot([], list(metrics), "metric", "value")
+def metric_rows(spark: SparkSession, counters: dict[str, int]) -> DataFrame:
+    """Counters as ``(metric, value)`` rows."""
+    return spark.createDataFrame(list(counters.items()), "metric string, value long")
 
 
 def feedback_rows(df: DataFrame, recorded_at: Column) -> DataFrame:
