@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from triagelake import session
 from triagelake.operators import (
-    evaluate, events, filters, models, quality, ranks, recommend, retrieval, search, split, topics,
+    evaluate, events, filters, models, postings, quality, ranks, recommend, retrieval, search, split, topics,
     unify,
 )
 from triagelake.sources import tables
@@ -80,7 +80,7 @@ def test_dense_search_matches_brute_force(spark, limit, exclude):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     q = spark.createDataFrame(rows, "query_id long, vector array<double>")
     c = spark.createDataFrame(rows, "corpus_id long, vector array<double>")
-    got = search.top_k(q, c, "dense", 4, exclude, broadcast_bytes=limit,
+    got = search.top_k(q, c, 4, exclude, broadcast_bytes=limit,
                        query_block=100, corpus_block=150).collect()
     scores = np.round(x @ x.T, 9)
     want = set()
@@ -91,8 +91,9 @@ def test_dense_search_matches_brute_force(spark, limit, exclude):
     assert {(r.query_id, r["rank"], r.corpus_id) for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_sparse_search_matches_brute_force(spark, limit):
+@pytest.mark.parametrize("cheap", [0, 1 << 20])
+def test_sparse_search_matches_brute_force(spark, cheap, monkeypatch):
+    monkeypatch.setattr(postings, "CHEAP", cheap)
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(["common"] + rnd.choices(words, k=rnd.randrange(12))) for _ in range(50)]
@@ -100,8 +101,7 @@ def test_sparse_search_matches_brute_force(spark, limit):
     corpus = spark.createDataFrame(list(enumerate(texts)), "corpus_id long, text string")
     asked = [(0, "common w1 w2"), (1, "nothing known here"), (2, texts[10])]
     queries = spark.createDataFrame(asked, "query_id long, text string")
-    got = retrieval.sparse_search(queries, corpus, 5, (1, 1), broadcast_bytes=limit,
-                                  query_block=3, corpus_block=40).collect()
+    got = retrieval.sparse_search(queries, corpus, 5, (1, 1)).collect()
     vocabulary = sorted({w for t in texts for w in t.split()})
     tf = np.array([[t.split().count(w) for w in vocabulary] for t in texts], float)
     idf = np.log((1 + 50) / (1 + (tf > 0).sum(0))) + 1
@@ -340,12 +340,12 @@ def test_no_task_emits_more_than_k_rows_per_query(spark):
     before = spark.conf.get(key)
     spark.conf.set(key, "10")
     try:
-        assert search._broadcast_search(queries, corpus, "dense", 5, False).count() <= 20 * 5 * 2
-        got = search.top_k(queries, corpus, "dense", 2).collect()
+        assert search._broadcast_search(queries, corpus, 5, False).count() <= 20 * 5 * 2
+        got = search.top_k(queries, corpus, 2).collect()
     finally:
         spark.conf.set(key, before)
     assert {(r.query_id, r["rank"], r.corpus_id) for r in got} == {(f"q{i}", n, f"d{400 - n}") for i in range(20) for n in (1, 2)}
-    blocks = search.top_k(queries, corpus, "dense", 2, broadcast_bytes=0, query_block=10, corpus_block=100).collect()
+    blocks = search.top_k(queries, corpus, 2, broadcast_bytes=0, query_block=10, corpus_block=100).collect()
     assert sorted(blocks) == sorted(got)
 
 

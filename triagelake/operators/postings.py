@@ -19,7 +19,8 @@ Weights are never negative and rows have unit length, so
 Postings are lists per term and range of rows, and queries come in blocks, so
 a list is shipped once per block that looks it up; no row of a pair is.  Sums
 are formed in numpy, per block and range.  What is shuffled of the corpus is
-its terms (by term, by row, by term again), whatever the number of queries.
+its texts (by id, so that numbers rise with ids and ties go to the smaller one)
+and its terms (by term, by row, by term again), whatever the number of queries.
 """
 
 from __future__ import annotations

@@ -51,7 +51,7 @@ def dense_search(
     queries: DataFrame, corpus: DataFrame, k: int = fixed.TOP_K, **options
 ) -> DataFrame:
     """Search over unit-length embeddings in the column ``vector``."""
-    return search.top_k(queries, corpus, "dense", k, **options)
+    return search.top_k(queries, corpus, k, **options)
 
 
 def mark_weak(hits: DataFrame, floor: float = fixed.SIMILARITY_FLOOR) -> DataFrame:
