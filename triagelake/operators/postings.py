@@ -53,6 +53,11 @@ SLACK = 2e-9
 # Sums formed at a time.
 CHUNK = 1 << 21
 PARTS = ("docs", "terms", "postings", "vectors")
+# Tables in buckets have no file that tells the schema when they are empty.
+BUCKETED = {
+    "terms": ("term", "term string, df bigint, idf double, tid bigint, top double"),
+    "postings": ("tid", "tid bigint, range bigint, rows array<struct<c: int, w: double>>"),
+}
 LOOKUP = "block long, tid long, asked array<struct<q: int, w: double, least: double, whole: boolean>>"
 FOUND = "qid long, cid long, score double, whole boolean"
 
@@ -109,7 +114,7 @@ def save(index: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
     """Write an index under ``path``; postings and terms lie in sorted buckets."""
     for part in ("docs", "vectors"):
         index[part].write.mode("overwrite").parquet(f"{path}/{part}")
-    for part, by in (("terms", "term"), ("postings", "tid")):
+    for part, (by, _) in BUCKETED.items():
         name = table_name(path, part)
         whole = index[part].repartition(buckets, by)  # one file per bucket
         writer = whole.write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
@@ -131,16 +136,16 @@ def load(spark: SparkSession, path: str, buckets: int = 64) -> dict[str, DataFra
     """An index written by ``save``, by this session or another."""
     index = {}
     for part in PARTS:
-        df = spark.read.parquet(f"{path}/{part}")
-        if part in ("terms", "postings"):
-            name, by = table_name(path, part), "term" if part == "terms" else "tid"
-            if not spark.catalog.tableExists(name):
-                spark.sql(
-                    f"CREATE TABLE {name} ({df.schema.toDDL()}) USING parquet OPTIONS (path '{path}/{part}') "
-                    f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS"
-                )
-            df = spark.table(name)
-        index[part] = df
+        if part not in BUCKETED:
+            index[part] = spark.read.parquet(f"{path}/{part}")
+            continue
+        name, (by, columns) = table_name(path, part), BUCKETED[part]
+        if not spark.catalog.tableExists(name):
+            spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}/{part}') "
+                f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS"
+            )
+        index[part] = spark.table(name)
     return index
 
 
