@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.operators import features, postings, retrieval
@@ -120,3 +121,18 @@ def test_nothing_to_search(spark):
     asked, corpus = frames(spark, [(1, "a b")], [(1, "a")])
     assert retrieval.sparse_search(asked, corpus.limit(0)).count() == 0
     assert retrieval.sparse_search(asked.limit(0), corpus).count() == 0
+
+
+def test_postings_are_shipped_once_for_many_blocks(spark, monkeypatch):
+    """128 blocks of queries are shipped the postings as 32."""
+    monkeypatch.setattr(postings, "BLOCK", 2)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], k=12))) for i in range(512)]
+    asked, corpus = frames(spark, rows, rows)
+    counts = postings.numbered_counts(asked.coalesce(1), "query_id", "text", (1, 1), "qid")
+    counts = counts.withColumn("qid", F.row_number().over(Window.orderBy("qid")) - F.lit(1).cast("long"))
+    index = postings.build(corpus, (1, 1), features.asked_terms(counts))
+    shipped, tiled = [], postings.tiled
+    monkeypatch.setattr(postings, "tiled", lambda df, run, schema: shipped.append(df.select("block", "range").distinct().count()) or tiled(df, run, schema))
+    assert told(postings.top_k(counts, index, 5)) == brute(rows, rows, 5)
+    assert shipped == [32]
