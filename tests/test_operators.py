@@ -269,6 +269,25 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_table_of_one_file_or_many(spark, tmp_path, files):
+    table = str(tmp_path / "in" / "documents.parquet")
+    df = spark.range(20).withColumn("text", F.concat(F.lit("t"), "id"))
+    df.repartition(files).write.parquet(table)
+    if files == 1:  # the table is a file itself
+        (part,) = (tmp_path / "in" / "documents.parquet").glob("part-*")
+        table = str(tmp_path / "one" / "documents.parquet")
+        (tmp_path / "one").mkdir()
+        part.rename(table)
+    folder = table.rsplit("/", 1)[0]
+    spark.range(5).write.parquet(f"{folder}/labels.parquet")
+    stream = jobs.read_stream(spark, folder, df.schema, "documents.parquet")
+    sink = str(tmp_path / "sink")
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "st"))
+    writer.trigger(availableNow=True).start(sink).awaitTermination()
+    assert sorted(spark.read.parquet(sink).collect()) == sorted(df.collect())
+
+
 def test_stream_keeps_late_events(spark, tmp_path):
     """One file per trigger, and an incident whose only event is 30 days late."""
     day = 86_400
