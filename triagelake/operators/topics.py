@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import fixed
-from triagelake.operators import features
+from triagelake.operators import features, kmeans
 from triagelake.operators.ranks import quantiles
 from triagelake.operators.rows import settle
+from triagelake.session import checkpoint
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -91,40 +92,37 @@ def choose_k(
     seed: int = fixed.SEED,
     parallelism: int = 4,
     max_iter: int = fixed.TOPIC_MAX_ITER,
-) -> tuple[DataFrame, object, DataFrame]:
+) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """k-means per k with restarts; silhouette of the best run of each k.
 
-    Returns the report ``(k, cost, silhouette, best)``, the best model, and
-    the rows with its ``cluster``.
+    All runs are fitted in the same passes over the rows.  Returns the report
+    ``(k, cost, silhouette, best)``, the best run's centres, and the rows with
+    their ``cluster``.
     """
     spark = df.sparkSession
+    # A piece for every core, as the passes are bound by CPU.
+    tasks = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
     points = df.select(
-        key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    ).persist()
-
-    def run(job):
-        k, r = job
-        model = KMeans(
-            k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="cluster"
-        ).fit(points)
-        return k, float(model.summary.trainingCost), model
+        key, vector, F.xxhash64(key).alias("h"), F.col(vector).cast("array<double>").alias("x")
+    ).repartition(tasks).persist()
+    jobs = [k for k in ks for _ in range(restarts)]
+    runs = kmeans.fit(points, jobs, seed, max_iter)
+    best_runs = [min((x for j, x in zip(jobs, runs) if j == k), key=lambda x: x[1]) for k in ks]
+    rows = checkpoint(kmeans.assigned(points, [c for c, _ in best_runs], [key, vector]))
+    points.unpersist()
+    own = lambda i: rows.select(key, vector, F.get("clusters", F.lit(i)).alias("cluster"))
+
+    def score(i):
+        return float(silhouette(own(i), "cluster", vector, key).agg(F.avg("silhouette")).first()[0])
 
     with ThreadPool(parallelism) as pool:
-        runs = pool.map(run, [(k, r) for k in ks for r in range(restarts)], chunksize=1)
-        best_runs = [min((x for x in runs if x[0] == k), key=lambda x: x[1]) for k in ks]
-
-        def score(found):
-            k, cost, model = found
-            rows = silhouette(model.transform(points), "cluster", vector, key)
-            return k, cost, float(rows.agg(F.avg("silhouette")).first()[0]), model
-
-        scored = pool.map(score, best_runs, chunksize=1)
-    best = max(scored, key=lambda x: (x[2], -x[0]))
+        scores = pool.map(score, range(len(best_runs)), chunksize=1)
+    best = max(range(len(best_runs)), key=lambda i: (scores[i], -ks[i]))
     report = spark.createDataFrame(
-        [(k, cost, s, k == best[0]) for k, cost, s, _ in scored],
+        [(k, cost, s, i == best) for i, (k, (_, cost), s) in enumerate(zip(ks, best_runs, scores))],
         "k int, cost double, silhouette double, best boolean",
     )
-    return report, best[3], best[3].transform(points).select(key, vector, "cluster")
+    return report, best_runs[best][0], own(best)
 
 
 def top_terms(
