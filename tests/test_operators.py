@@ -368,6 +368,18 @@ def test_no_task_emits_more_than_k_rows_per_query(spark):
     assert sorted(blocks) == sorted(got)
 
 
+def test_a_tile_has_many_blocks_of_queries(spark):
+    """A corpus row is shipped once for all the blocks that a task may hold, and queries once per part."""
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    queries, corpus = (spark.createDataFrame(rows, f"{c}_id long, vector array<double>") for c in ("query", "corpus"))
+    moved = search.shipped(queries, corpus, 20, 20)
+    assert moved.where("side = 1").count() == 300 and moved.where("side = 0").count() <= 300 * search.TASKS
+    got = search.top_k(queries, corpus, 3, True, -1.0, broadcast_bytes=0, query_block=20, corpus_block=20).collect()
+    want = search.top_k(queries, corpus, 3, True, -1.0).collect()
+    assert sorted(got) == sorted(want) and len(got) == 900
+
+
 def test_vocabulary_is_numbered_without_gaps(spark):
     terms = spark.range(60_000).select(F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("idf"))
     got = sorted(r.ix for r in models.indexed_vocabulary(terms).collect())
