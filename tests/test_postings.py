@@ -2,13 +2,18 @@
 
 import collections
 import math
+import os
 import random
+import tempfile
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.operators import features, postings, retrieval
+from triagelake.session import checkpoint
 
 
 def brute(queries, corpus, k, exclude_self=False):
@@ -136,3 +141,33 @@ def test_postings_are_shipped_once_for_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(postings, "tiled", lambda df, run, schema: shipped.append(df.select("block", "range").distinct().count()) or tiled(df, run, schema))
     assert told(postings.top_k(counts, index, 5)) == brute(rows, rows, 5)
     assert shipped == [32]
+
+
+def test_blocks_of_queries_are_searched_in_waves(spark, monkeypatch):
+    """What is shipped at a time is a part of all tiles, and used counts are removed."""
+    monkeypatch.setattr(postings, "BLOCK", 2)
+    monkeypatch.setattr(postings, "TILES", 8)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], k=12))) for i in range(512)]
+    asked, corpus = frames(spark, rows, rows)
+    counts = postings.numbered_counts(asked.coalesce(1), "query_id", "text", (1, 1), "qid")
+    counts = counts.withColumn("qid", F.row_number().over(Window.orderBy("qid")) - F.lit(1).cast("long"))
+    monkeypatch.setattr(postings, "SPAN", 2)
+    index = postings.build(corpus, (1, 1), features.asked_terms(counts))
+    shipped, tiled = [], postings.tiled
+    monkeypatch.setattr(postings, "tiled", lambda df, run, schema: shipped.append(df.select("block", "range").distinct().count()) or tiled(df, run, schema))
+    hits = postings.top_k(counts, index, 5)
+    assert told(hits) == brute(rows, rows, 5)
+    assert len(shipped) == 4 and sum(shipped) == 32 and max(shipped) < 32
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    folder = Path(spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir())))
+    files = lambda: {str(p) for p in folder.rglob("shuffle_*") if f"{os.sep}blockmgr-" in str(p)}
+    before = files()
+    rows = checkpoint(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 9).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 9
