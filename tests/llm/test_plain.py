@@ -564,3 +564,15 @@ def test_quality_of_odd_rows(spark, odd, empty):
 def test_held_out_rows_are_those_of_crc32(spark):
     got = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("h", quality.held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_a_worker_keeps_the_words_of_its_tasks(tokenizer):
+    """What one task has learned, the next one does not encode again."""
+    texts = ["été Grüße don't x9 \x0b y\xa0z", "", "  a\n", "ÉTÉ ĳ İ ſ ß¡«¬\xad®ÿ"]
+    packing.kept_encoder(tokenizer, 1000).encode(texts)
+    again = packing.kept_encoder(tokenizer, 1000)
+    again.learn = lambda words, special: pytest.fail(f"learned {words} again")
+    fresh = packing.Encoder(tokenizer, special=True)
+    assert again.encode(texts) == fresh.encode(texts)
+    whole = fresh.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in fresh.encode(texts)] == [e.ids for e in whole]

@@ -17,10 +17,11 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import accumulate, chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from triagelake.llm.names import fresh
 LENGTH, END_ID = 2048, 0
 OPEN = 1 << 16
 PIECES_PER_TASK = 100_000
-# Words a task remembers, twice; each takes about 200 bytes.
-CACHE = 300_000
+# Words a worker process remembers, twice; each takes about 200 bytes.
+CACHE = 600_000
 # Of the white space that the tokenizer drops, what no other rule can see.
 GAP = re.compile("[ \t\n\r]+")
 # Other white space, which str.split() would cut at too.
@@ -42,6 +43,13 @@ OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 # Fixed value: the tokenizer's own pattern, for lower-cased plain words.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# The same over many words, one per line.
+LINES = re.compile(f"\\n|{PARTS.pattern}")
+# The tokenizer writes bytes as characters: these bytes as they are, the others from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OTHERS = [b for b in range(256) if b not in SHOWN]
+NAMES = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enumerate(OTHERS)}}
+BYTES = {c: "".join(NAMES[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class Encoder:
@@ -64,9 +72,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -76,56 +82,88 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [[w for w in GAP.split(t) if w] if OTHER_SPACE.search(t) else t.split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        ids = list(map(self.known.get, flat))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        odd = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
+        if odd:
+            lists = split.to_pylist()
+            for i in odd:
+                lists[i] = GAP.split(texts[i])
+            split = pa.array(lists, pa.list_(pa.large_string()))
+        flat = split.flatten().dictionary_encode()
+        words, at = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        ids = list(map(self.known.get, words))
         gaps = [i for i, b in enumerate(ids) if b is None]
         if gaps:
-            fresh = {flat[i] for i in gaps}
+            fresh = [words[i] for i in gaps]
             if len(self.known) + len(fresh) > self.cache:
                 # What was known is asked once more before it is forgotten.
                 self.before, self.known = self.known, {}
-                self.parts.clear()
+            if len(self.parts) + len(fresh) > self.cache:
+                self.parts = {}
             known, before = self.known, self.before
             known.update((w, before[w]) for w in fresh if w in before)
             # Texts are asked before words, as hardly any has a special token.
             special = [s for s in self.special if any(s in t for t in texts)]
             self.learn([w for w in fresh if w not in known], special)
             for i in gaps:
-                ids[i] = known[flat[i]]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+                ids[i] = known[words[i]]
+        body, ends = joined(ids, at)
+        off = np.append(0, ends)[split.offsets.to_numpy()]
+        return [body[a:b] for a, b in pairwise(off.tolist())]
 
     def learn(self, words: list[str], special: list[str]) -> None:
         known, parts, plain = self.known, self.parts, PLAIN.fullmatch
-        simple, cut, other = [], [], []
-        for w in words:
-            if not plain(w) or special and any(s in w for s in special):
-                other.append(w)
-            elif w.isalpha():
-                simple.append((w, w.lower()))
-            else:
-                cut.append((w, PARTS.findall(w.lower())))
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
+        # Empty words stand between and around white space.
+        odd = [w for w in words if w and not plain(w) or special and any(s in w for s in special)]
+        for i in range(0, len(odd), 4096):
+            some = odd[i : i + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        fresh = {p for _, p in simple if p not in parts}
-        fresh.update(p for _, ps in cut for p in ps if p not in parts)
-        fresh = list(fresh)
+        if odd:
+            words = [w for w in words if w not in known]
+        if not words:
+            return
+        # A line per word, all cut at once.
+        cut = pa.array(LINES.findall("\n".join(words).lower() + "\n")).dictionary_encode()
+        names, at = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
+        fresh = [p for p in names if p != "\n" and p not in parts]
+        fresh.sort(key=str.isascii)  # few need their bytes written otherwise
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
-            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            line = " ".join(some)
+            line = line if line.isascii() else line.translate(BYTES)
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             body = ids.tobytes()
-            at = 0
-            for p, end in zip(some, (4 * ends).tolist(), strict=True):
-                parts[p] = body[at:end]
-                at = end
-        for w, p in simple:
-            known[w] = parts[p]
-        for w, ps in cut:
-            known[w] = b"".join([parts[p] for p in ps])
+            parts.update(zip(some, [body[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])], strict=True))
+        body, ends = joined([b"" if p == "\n" else parts[p] for p in names], at)
+        ends = ends[at == names.index("\n")]
+        known.update(zip(words, [body[a:b] for a, b in pairwise([0, *ends.tolist()])], strict=True))
+
+
+def kept_encoder(path: str, cache: int) -> Encoder:
+    """The encoder of this worker process.  Spark runs many tasks in one, and
+    what one of them learned the next one knows."""
+    import tokenizers  # this module is pickled into every task, that one stays
+
+    stat = os.stat(path)
+    key = path, cache, stat.st_size, stat.st_mtime_ns
+    kept = vars(tokenizers).setdefault("_triagelake_encoders", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(path, cache, special=True)
+    return kept[key]
+
+
+def joined(values: list[bytes], at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of ``values`` taken in the order ``at``, and where each taken one ends, in bytes."""
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    start = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(values), "<u4")
+    many = size[at]
+    ends = np.cumsum(many)
+    place = np.repeat(start[at] - (ends - many), many) + np.arange(many.sum())
+    return ids[place].tobytes(), 4 * ends
 
 
 def pieces(
@@ -141,7 +179,7 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer, cache, special=True)
+        encoder = kept_encoder(tokenizer, cache)
         gc.disable()  # millions of words are held, and nothing here refers to itself
         try:
             yield from cut(batches, encoder)
@@ -149,7 +187,7 @@ def pieces(
             gc.enable()
 
     def cut(batches, encoder):
-        for batch in record_batches(batches, 1 << 20):
+        for batch in record_batches(batches, 1 << 22):
             row, piece, ids = [], [], []
             texts = [t or "" for t in batch.column(body).to_pylist()]
             for r, b in enumerate(encoder.encode(texts)):
