@@ -171,3 +171,22 @@ def test_a_checkpoint_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before
     assert rows.count() == 9
+
+
+def test_the_corpus_is_weighed_without_shuffling_its_terms(spark, monkeypatch):
+    """Terms go to their task by hash, packed, whether asked or not; lengths count all of them."""
+    monkeypatch.setattr(postings, "HELD", 256)
+    monkeypatch.setattr(postings, "RANGE", 5)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(90)], k=rng.randrange(12)))) for i in range(150)] + [(900, None)]
+    asked, corpus = frames(spark, [(1, "w1 w2 w1 unknown"), (2, "w3"), (3, "")], rows)
+    plans, written = [], postings.checkpoint
+    monkeypatch.setattr(postings, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    counts = postings.numbered_counts(asked, "query_id", "text", (1, 1), "qid")
+    index = postings.build(corpus, (1, 1), features.asked_terms(counts))
+    assert not [p for p in plans if "hashpartitioning(term" in p]
+    assert {r.term: r.df for r in index["terms"].collect()} == {
+        w: sum(w in (t or "").split() for _, t in rows) for w in ("w1", "w2", "w3")
+    }
+    hits = postings.top_k(counts, index, 5)
+    assert told(hits) == brute([(1, "w1 w2 w1 unknown"), (2, "w3"), (3, "")], rows, 5)
