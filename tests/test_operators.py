@@ -1,5 +1,6 @@
 """Skewed inputs, brute force checks and answer rules."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -409,3 +410,31 @@ def test_cleanup_removes_the_steps(spark):
     path = pathlib.Path(session.new_dir(spark, "step"))
     spark.range(3).write.parquet(str(path))
     assert path.exists() and session.cleanup(spark) >= 1 and not path.exists()
+
+
+def test_permutations_ship_a_vector_once(spark, monkeypatch):
+    """Scores of all shuffles as by hand, from one tile per block of vectors."""
+    monkeypatch.setattr(split, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(75, 3))
+    labels = [None if i == 5 else "abc"[i % 7 % 3] for i in range(75)]
+    df = spark.createDataFrame([(i, labels[i], [float(v) for v in x[i]]) for i in range(75)], "id int, label string, v array<double>")
+    written, checkpoint = [], session.checkpoint
+    monkeypatch.setattr(evaluate, "checkpoint", lambda d: written.append(checkpoint(d)) or written[-1])
+    got = {r.perm: r.f1_macro for r in evaluate.permutation_scores(df, "id", "label", "v", permutations=4).collect()}
+    assert [d.count() for d in written if "x" in d.columns] == [5]
+    ids = [i for i in range(75) if labels[i]]
+    order = lambda salt: sorted(ids, key=lambda i: (hashlib.md5(f"{salt}-{i}".encode()).hexdigest(), i))
+    base = order(42)
+    for perm in range(5):
+        mine = [labels[i] for i in (order(f"42-{perm}") if perm else base)]
+        fold = [mine[:r].count(mine[r]) % 5 for r in range(len(base))]
+        hits = []
+        for r, i in enumerate(base):
+            rows = [s for s in range(len(base)) if fold[s] != fold[r]]
+            far = {c: ((x[i] - x[[base[s] for s in rows if mine[s] == c]].mean(axis=0)) ** 2).sum() for c in "abc"}
+            hits.append(min("abc", key=far.get))
+        f1 = [2 * sum(a == b == c for a, b in zip(mine, hits)) / (mine.count(c) + hits.count(c)) for c in "abc"]
+        assert abs(got[perm] - sum(f1) / 3) < 1e-9
+    drawn = {(r.perm, r.id): r.label for r in split.shuffled_labels(df, "label", "id", 2).collect()}
+    assert drawn == {(p, i): labels[j] for p in (1, 2) for i, j in zip(base, order(f"42-{p}"))}
