@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake import session
+from triagelake.functions import text
 from triagelake.operators import (
     evaluate, events, filters, models, postings, quality, ranks, recommend, retrieval, search, split, topics,
     unify,
@@ -438,3 +439,27 @@ def test_permutations_ship_a_vector_once(spark, monkeypatch):
         assert abs(got[perm] - sum(f1) / 3) < 1e-9
     drawn = {(r.perm, r.id): r.label for r in split.shuffled_labels(df, "label", "id", 2).collect()}
     assert drawn == {(p, i): labels[j] for p in (1, 2) for i, j in zip(base, order(f"42-{p}"))}
+
+
+def test_content_forms_each_key_once(spark):
+    """As splitting the joined first sentences again, with one key per sentence."""
+    rng = random.Random(3)
+    words = ["one", "Σας", "two three", "don't", "...", "!", "ΟΔΟΣ", "hello", "best regards", "x\x1cy", "a_b", "?!", "é́t"]
+    gaps = [" ", ". ", ".\n", "\n", " \n ", " ", ".\x85", "!  ", "\r\n", "?\xa0", ".", "​", "  "]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(25))) for _ in range(300)] + [None, "", " 　 "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, r string")
+    found = spark.createDataFrame([("one",), ("two three hello",), ("two three",)], "key string")
+    again = F.filter(text.sentences(F.col("t")), lambda s: ~text.sentence_key(s).isin("one", "two three hello", "two three"))
+    kept = F.filter(F.transform(again, lambda s: text.trim_edges(s)), lambda s: F.regexp_count(s, F.lit(r"(?U)\S+")) >= 2)
+    want = quality.dedupe_sentences(df, "r", "t").select("id", F.coalesce(F.array_join(kept, " "), F.lit("")).alias("c"))
+    want = want.select("id", "c", F.regexp_count("c", F.lit(r"(?U)\S+")).cast("long")).collect()
+    assert any(r.c for r in want)
+    for limit in (0, 100):
+        got = quality.extract_content(df, "r", found, min_words=2, inline_keys=limit)
+        assert sorted(got.select("id", "resolution_content", "content_words").collect()) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    space = [chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000]
+    seen = spark.createDataFrame([(c + "a" + c,) for c in space], "c string").select(
+        text.trim_ws(F.col("c")).alias("new"), F.regexp_replace("c", r"(?U)^\s+|\s+$", "").alias("old")
+    )
+    assert seen.where("new <> old").count() == 0
